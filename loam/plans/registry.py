@@ -1,4 +1,9 @@
 """All queries of the chunking operators by name, and the SQL that gives the same rows."""
 
+from loam.plans import core
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (core,):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
