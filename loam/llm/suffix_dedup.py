@@ -6,10 +6,11 @@ strings share a bucket and buckets are independent. Within a bucket the stretche
 small collection; equal stretches are held once with their number. Each task cuts its collection into shards,
 gives every shard its own suffix order and transform, and merges two transforms at a time: the interleave
 starts as "all of the one, then all of the other", and each round reads both transforms in the present order
-and deals the entries out stably by symbol, which refines the order by one symbol of context. The symbol is the
-rank of the 8 bytes before the suffix, so 25 rounds reach 200 bytes; no suffix is compared or sorted again.
-The borders that each round opens between entries give the common prefix lengths; runs of entries without a
-border after 200 bytes are the repeated intervals.
+and deals the entries out stably by symbol, which refines the order by one symbol of context. The symbol stands for
+the 25 bytes before the suffix, so 8 rounds reach 200 bytes; no suffix is compared or sorted again. Any fixed order
+of symbols gives the same intervals, so symbols are ordered by a 64-bit hash of their bytes. The borders that each
+round opens between entries give the common prefix lengths in symbols; runs of entries without a border after 200
+bytes are the repeated intervals.
 
 Stretches that agree wholly in all places their anchor occurs form one interval by themselves and need no merge.
 A bucket of more than ``BUCKET_CLASSES`` different stretches (one passage in very many surroundings) is not
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.repeats import anchored_runs, class_windows, keyed_docs, span_arrays, span_list, spans_per_document, wanted_arrays, with_spans, with_wanted
-from loam.llm.spans import keep_mask, ranges, text_batches
+from loam.llm.spans import SpanHasher, keep_mask, ranges, text_batches
 from loam.llm.store import written
 
-DEPTH, GRAM, STEP = 200, 32, 8
+DEPTH, GRAM, STEP = 200, 32, 25
 #: Different stretches in one bucket that a task takes at most.
 BUCKET_CLASSES = 2_000
 #: Bytes of stretches that a task merges at a time.
@@ -43,10 +44,10 @@ SHARDS = 2
 
 
 def stable_order(key: np.ndarray) -> np.ndarray:
-    """Stable sorting order of integers below 2**32: two counting passes of 16 bits."""
-    order = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable")
-    high = (key >> 16).astype(np.uint16)
-    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+    """Stable sorting order of integers below 2**32: key and place share one number, which sorts fast."""
+    packed = (key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 class Collection:
@@ -60,16 +61,15 @@ class Collection:
         pad = b"\0" * step
         data = np.frombuffer(pad + pad.join(strings) + pad, np.uint8)
         self.first = self.first + step * (1 + np.arange(len(strings)))
-        words = np.zeros(len(data), np.uint64)
-        for i in range(step):
-            words[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(8 * (step - 1 - i))
-        self.words = words  # the step bytes from each place on, big-endian: their order is the strings' order
+        hasher = SpanHasher(53)
+        # What stands in the step bytes from each place on; past the end reading goes on at the start.
+        self.words = hasher.grams(hasher.prefix_bytes(np.concatenate([data, data[: step - 1]])), step)
 
 
 def suffix_order(rank: np.ndarray, step: int, depth: int) -> np.ndarray:
     """The order of one shard's suffixes, read cyclically, by ``depth`` bytes or more: ranks of step bytes, doubled."""
     n, reach = len(rank), step
-    rank = rank.astype(np.int64)
+    rank = rank.astype(np.int32)
     order = stable_order(rank)
     while reach < depth:
         second = np.roll(rank, -reach)
@@ -78,8 +78,8 @@ def suffix_order(rank: np.ndarray, step: int, depth: int) -> np.ndarray:
         new = np.ones(n, bool)
         a, b = rank[order], second[order]
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32) - 1
         reach *= 2
     return order
 
@@ -95,17 +95,18 @@ def merge(transforms: list[np.ndarray], symbols: int, step: int, depth: int) ->
     Returns for each merged entry its shard (0 or 1) and a flag: it differs from the entry before it.
     """
     a, b = transforms
+    a, b = a.astype(np.int32), b.astype(np.int32)
     shard = np.zeros(len(a) + len(b), bool)
     shard[len(a) :] = True
-    block = np.zeros(len(shard), np.int64)
+    block = np.zeros(len(shard), np.int32)
     for _ in range(-(-depth // step)):
-        symbol = np.empty(len(shard), np.int64)
+        symbol = np.empty(len(shard), np.int32)
         symbol[~shard], symbol[shard] = a, b
         order = stable_order(symbol)
         shard, symbol, block = shard[order], symbol[order], block[order]
         border = np.ones(len(shard), bool)
         border[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(border)
+        block = np.cumsum(border, dtype=np.int32)
     return shard, border
 
 
