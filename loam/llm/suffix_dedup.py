@@ -36,8 +36,8 @@ from loam.llm.spans import SpanHasher, keep_mask, ranges, text_batches
 from loam.llm.store import written
 
 DEPTH, GRAM, STEP = 200, 32, 25
-#: Different stretches in one bucket that a task takes at most.
-BUCKET_CLASSES = 2_000
+#: Different stretches in one bucket that a task takes at most: 3 MB, which merge in about two seconds.
+BUCKET_CLASSES = 8_000
 #: Bytes of stretches that a task merges at a time.
 MERGE_BYTES = 1 << 20
 SHARDS = 2
