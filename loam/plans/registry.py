@@ -1,9 +1,9 @@
 """All queries of the chunking operators by name, and the SQL that gives the same rows."""
 
-from loam.plans import core
+from loam.plans import core, signal, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (core,):
+for _module in (core, signal, text):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
