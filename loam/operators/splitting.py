@@ -92,7 +92,7 @@ def split_pattern_spans(text: Column, patterns: list[str], attach: str = "prev",
     return accumulated(spans, text, min_bytes)
 
 
-def segments(df: DataFrame, spans: Column, *keep: str) -> DataFrame:
+def segments(df: DataFrame, spans: Column, *keep: str | Column) -> DataFrame:
     """One row for each span: ``keep``, idx, text, offset, length."""
     return (
         df.select(*keep, F.posexplode(spans).alias("idx", "span"))

@@ -57,7 +57,7 @@ def marked_lines(spark, sf_dir):
     rows = line_blocks(spark, sf_dir)
     phrases = enrichment.by_language(F.col("lang"), {c: F.array(*[F.lit(p) for p, _ in marker_phrases(c)]) for c in LANGS}, F.array(F.lit("")))
     pick = F.get(phrases, (F.col("doc_id") + F.col("block_idx")) % F.size(phrases))
-    return rows.withColumn("text", F.when(F.col("block_idx") % 2 == 0, F.concat(F.initcap(pick), "text")).otherwise(F.col("text")))
+    return rows.withColumn("text", F.when(F.col("block_idx") % 2 == 0, F.concat(pick, "text")).otherwise(F.col("text")))
 
 
 def discourse_markers(spark, sf_dir):
