@@ -179,6 +179,17 @@ shared AS (SELECT doc_id, e AS entity, list(DISTINCT idx ORDER BY idx) AS chunks
 COGNITIVE_SQL = HEAL_CTE + """SELECT *, lag(idx) OVER w AS prev_idx, lead(idx) OVER w AS next_idx FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY idx)"""
 
 
+def heal_chunks(spark, sf_dir):
+    """Chunks of two blocks each, healed."""
+    rows = scored_rows(spark, sf_dir).withColumn("chunk", F.floor(F.col("block_idx") / 2).cast("int"))
+    signals = cognitive.score_boundaries(rows, soft=SOFT)
+    healed = cognitive.heal(cognitive.build_chunks(rows, signals), signals, hard=HARD)
+    return healed.select("doc_id", "idx", "text", "tokens", "first_block", "last_block")
+
+
+HEALED_SQL = "WITH RECURSIVE " + ROWS_CTE + ", ids AS (SELECT doc_id, block_idx, block_idx // 2 AS chunk FROM rws)" + HEAL_CTE[len(BREAKS_CTE):] + "SELECT * FROM chunks"
+
+
 def shared_entities(spark, sf_dir):
     chunks, _, _ = _healed(spark, sf_dir)
     return cognitive.shared_entities(chunks).select("doc_id", "entity", F.array_join(F.col("chunks").cast("array<string>"), ",").alias("chunks"))
@@ -527,7 +538,7 @@ SELECT doc_id, method, ord, composite, chunk_count FROM (SELECT *, row_number()
 QUERIES = {
     f.__name__: f
     for f in (
-        boundary_scores, boundary_reasons, valleys, rerank_band, rerank_refine, budget_breaks, assembled_chunks, cognitive_chunks, shared_entities, graph_edges, graph_metadata,
+        boundary_scores, boundary_reasons, valleys, rerank_band, rerank_refine, budget_breaks, assembled_chunks, cognitive_chunks, heal_chunks, shared_entities, graph_edges, graph_metadata,
         evaluation_rates, dominant_entities, signal_lines, full_cognitive, size_compliance, reference_completeness, contextual_coherence, intrachunk_cohesion, block_integrity, evaluated,
         best_intent, intent_partition, intent_chunks, section_tree, coref_edges, discourse_edges, cross_references, topology_chunks, initial_groups, key_dictionary, key_recombine,
         enriched_chunks, prescreen, adaptive_winner,
@@ -535,7 +546,7 @@ QUERIES = {
 }
 ORACLES = {
     "boundary_scores": SCORES_SQL, "boundary_reasons": REASONS_SQL, "valleys": "WITH " + ROWS_CTE + "SELECT doc_id, boundary_idx FROM vall WHERE is_valley", "rerank_band": BAND_SQL, "rerank_refine": REFINE_SQL,
-    "budget_breaks": BREAKS_CTE + "SELECT doc_id, (block_idx - 1)::INT AS boundary_idx FROM ids WHERE brk", "assembled_chunks": ASSEMBLED_SQL, "cognitive_chunks": COGNITIVE_SQL,
+    "budget_breaks": BREAKS_CTE + "SELECT doc_id, (block_idx - 1)::INT AS boundary_idx FROM ids WHERE brk", "assembled_chunks": ASSEMBLED_SQL, "cognitive_chunks": COGNITIVE_SQL, "heal_chunks": HEALED_SQL,
     "shared_entities": HEAL_CTE + "SELECT doc_id, entity, array_to_string(chunks, ',') AS chunks FROM shared", "graph_edges": EDGES_SQL, "graph_metadata": METADATA_SQL,
     "evaluation_rates": RATES_SQL, "dominant_entities": DOMINANT_SQL,
     "size_compliance": MERGE_CTE + r"SELECT doc_id, round(avg((len(regexp_extract_all(text, '\S+')) BETWEEN 40 AND 64)::INT), 6) AS sc FROM placed GROUP BY doc_id",
