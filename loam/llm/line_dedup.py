@@ -13,7 +13,7 @@ hashes of its own lines.
 
 Defined results: a null text stays null with 0 lines; an empty text has one empty line; blank lines are never dropped;
 repeated rows of one doc_id count as one document and each is cleaned; a null doc_id counts as one document; an
-empty table gives an empty result; other columns pass through unread.
+empty table gives an empty result; other columns pass through unread, but for old ``n_lines`` and ``n_dropped``.
 """
 
 from __future__ import annotations
@@ -71,15 +71,15 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the recurring lines gone from ``text``, plus ``n_lines`` and ``n_dropped``."""
     dropped = recurring_lines(docs.select("doc_id", "text"), min_docs, depth, similarity)
-    lists = dropped.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_dropped"))
+    lists = dropped.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__dropped"))
     lines = F.split("text", "\n")
-    stays = F.filter(lines, lambda x: F.col("_dropped").isNull() | ~F.array_contains("_dropped", line_hash(x)))
+    stays = F.filter(lines, lambda x: F.col("__dropped").isNull() | ~F.array_contains("__dropped", line_hash(x)))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn("_stays", stays).select(
-        *[c for c in docs.columns if c != "text"],
-        F.array_join("_stays", "\n").alias("text"), n.alias("n_lines"),
-        (n - F.when(F.col("text").isNull(), 0).otherwise(F.size("_stays"))).alias("n_dropped"),
+    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return joined.withColumn("__stays", stays).select(
+        *[c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
+        F.array_join("__stays", "\n").alias("text"), n.alias("n_lines"),
+        (n - F.when(F.col("text").isNull(), 0).otherwise(F.size("__stays"))).alias("n_dropped"),
     )
 
 

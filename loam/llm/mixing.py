@@ -11,7 +11,7 @@ cells follows the row count.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its
 own, sorted last; repeated rows are separate documents; an empty table gives an empty result; columns
-other than ``doc_id``, ``text``, ``source`` are ignored.
+other than ``doc_id``, ``text``, ``source`` come along unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,15 +67,11 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, cap: float = CAP) -> Dat
 def mix_sources(
     docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 42, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
-    """Adds ``size``, ``source_size``, ``target`` and ``copies`` to every row of ``docs``."""
+    """(row, doc_id, size, source_size, target, copies) of every row of ``docs``; ``row`` holds all its columns."""
     size_class = F.ceil(F.log2(F.col("size") + 1.0) * SIZE_CLASSES_PER_DOUBLING).cast("int")
-    # Arithmetic on sizes and ids comes from the narrow table; the texts are read once more, at the end.
-    sized = docs.select("*", word_count(F.col("text")).alias("size"))
+    sized = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
     cells = F.greatest(F.lit(1.0), F.ceil(F.col("n_rows") / F.lit(float(cell_rows))))
-    sizes = sized.select("source", "size")
-    per_source = sizes.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")
-    )
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     targets = source_targets(per_source.select("source", "source_size"), weights, cap)
     plan = targets.join(
         per_source.select(F.col("source").alias("s"), cells.alias("cells")), F.col("s").eqNullSafe(F.col("source"))
@@ -101,22 +97,19 @@ def mix_sources(
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "draw", "doc_id")) + F.col("ahead")
     crossed = lambda r: F.floor(F.col("offset") + F.col("rate") * r)
     copies = F.least(F.lit(cap), crossed(F.col("rank")) - crossed(F.col("rank") - 1)).cast("int")
-    return (
-        placed.join(
-            starts,
-            F.col("plan_source").eqNullSafe(F.col("c_source"))
-            & (F.col("size_class") == F.col("c_class"))
-            & (F.col("cell") == F.col("c_cell")),
-        )
-        .withColumn("rank", rank.cast("double"))
-        .withColumn("copies", copies)
-        .drop("plan_source", "cells", "rate", "offset", "draw", "size_class", "cell", "c_source", "c_class", "c_cell", "ahead", "rank")
-    )
+    ranked = placed.join(
+        starts,
+        F.col("plan_source").eqNullSafe(F.col("c_source"))
+        & (F.col("size_class") == F.col("c_class"))
+        & (F.col("cell") == F.col("c_cell")),
+    ).withColumn("rank", rank.cast("double"))
+    return ranked.select("row", "doc_id", "size", "source_size", "target", copies.alias("copies"))
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each copy taken."""
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy")
+    """The mix: each document's columns once for each copy taken."""
+    each = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return mixed.where("copies > 0").select("row", each.alias("copy")).select("row.*")
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:

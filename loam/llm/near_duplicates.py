@@ -172,9 +172,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: f
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group: the one of the smallest doc_id."""
     groups = near_duplicate_groups(docs.select("doc_id", "text"), shingle, similarity)
-    first = groups.groupBy("root").agg(F.min(F.struct("d", "h", "n")).alias("one")).select("one.*").toDF("_d", "_h", "_n")
+    first = groups.groupBy("root").agg(F.min(F.struct("d", "h", "n")).alias("one")).select("one.*").toDF("__near_d", "__near_h", "__near_n")
     d, h = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = docs.join(first, (d == F.col("_d")) & (h == F.col("_h")))
-    once = kept.where("_n = 1").select(*docs.columns)
+    kept = docs.join(first, (d == F.col("__near_d")) & (h == F.col("__near_h")))
+    once = kept.where("__near_n = 1").select(*docs.columns)
     # Rows that repeat both doc_id and text are one row of their group.
-    return once.unionByName(kept.where("_n > 1").dropDuplicates(["_d", "_h"]).select(*docs.columns))
+    return once.unionByName(kept.where("__near_n > 1").dropDuplicates(["__near_d", "__near_h"]).select(*docs.columns))

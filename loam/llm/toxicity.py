@@ -136,10 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: dict[int, int] = TRAIN_RO
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / total if total else None)
 
 
-def score(docs: DataFrame, model: SubwordModel, *keep: str) -> DataFrame:
-    """The columns ``keep`` (doc_id by default) and ``score`` of every row."""
+def score(docs: DataFrame, model: SubwordModel, *keep: str, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id by default) and the score, as ``name``, of every row."""
     keep = keep or ("doc_id",)
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: SubwordModel, *keep: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             scores = [own.score(x.as_py()) for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*keep, name])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
