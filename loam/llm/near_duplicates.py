@@ -95,24 +95,26 @@ def bucket_members(texts: DataFrame) -> DataFrame:
 
 
 def tree_links(h: list[int], fp: list[int], sig: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    tree, held, groups, links = BKTree(), [], Groups(len(h)), []
-    sure, enough = CLOSE * SIGNATURE, (similarity - MARGIN) * SIGNATURE
+    """At most one link fewer than texts: first those at the estimated threshold, then the best of those just below it
+    between groups still apart."""
+    tree, held, groups, links, doubtful = BKTree(), [], Groups(len(h)), [], []
+    sure, enough, margin = CLOSE * SIGNATURE, similarity * SIGNATURE, (similarity - MARGIN) * SIGNATURE
     for i, value in enumerate(fp):
-        near = sorted((d, held[node]) for node, d in tree.within(value, RADIUS))
         inside = False
-        for _, j in near:
+        for _, j in sorted((d, held[node]) for node, d in tree.within(value, RADIUS)):
             if groups.find(i) == groups.find(j):
                 continue
             same = int(np.count_nonzero(sig[i] == sig[j]))
             if same >= enough:
+                groups.join(i, j)
                 links.append((h[i], h[j]))
-                if same >= similarity * SIGNATURE:
-                    groups.join(i, j)
-                if same >= sure:
-                    inside = True
+                inside = inside or same >= sure
+            elif same >= margin:
+                doubtful.append((-same, i, j))
         if not inside:
             tree.add(value)
             held.append(i)
+    links.extend((h[i], h[j]) for _, i, j in sorted(doubtful) if groups.join(i, j))
     return links
 
 
