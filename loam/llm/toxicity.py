@@ -37,38 +37,41 @@ FOLDS = 5
 
 
 def word_buckets(word: str, buckets: int = BUCKETS) -> list[int]:
-    padded = f"<{word}>"
+    padded, crc = f"<{word}>", zlib.crc32
+    if padded.isascii():
+        raw = padded.encode()
+        return [crc(raw[i : i + n]) % buckets for n in GRAMS for i in range(len(raw) - n + 1)] + [crc(raw) % buckets]
     grams = [padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in [*grams, padded]]
+    return [crc(g.encode("utf-8", "surrogatepass")) % buckets for g in [*grams, padded]]
 
 
 def split_words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+class WordScores(dict):
+    """The mean weight of a word's buckets, remembered for up to REMEMBERED words."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights.tolist()
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        weights, buckets = self.weights, word_buckets(word)
+        got = self[word] = sum([weights[b] for b in buckets]) / len(buckets)
+        return got
+
+
 class SubwordModel:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.known: dict[str, float] = {}
-
-    def word_score(self, word: str) -> float:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            got = self.known[word] = float(self.weights[word_buckets(word)].mean())
-        return got
+        self.words = WordScores(weights)
 
     def score(self, text: str | None) -> float:
         words = split_words(text)
-        logit = self.bias
-        if words:
-            known = self.known
-            try:
-                total = sum([known[w] for w in words])
-            except KeyError:
-                total = sum([self.word_score(w) for w in words])
-            logit += total / len(words)
+        logit = self.bias + (sum(map(self.words.__getitem__, words)) / len(words) if words else 0.0)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
 
 
