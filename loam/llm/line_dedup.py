@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm.store import written
+
 DEPTH, SIMILARITY, MIN_DOCS = 3, 0.7, 3
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -36,22 +38,22 @@ def _tokens(line: Column) -> Column:
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line): hashes of the lines of each document whose template recurs."""
-    each = (
-        docs.where("text is not null")
-        .select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("text_line"))
-        .where(~F.col("text_line").rlike(r"^[\x20\x09-\x0D]*$"))
-        .select("doc_id", line_hash(F.col("text_line")).alias("line"), "text_line")
-    )
-    # Leaf of the tree: token count and leading tokens. The hash keeps the exchanged rows narrow.
-    placed = each.withColumn("tokens", _tokens(F.col("text_line"))).select(
-        "doc_id", "line", "text_line", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf")
+    lines_of = F.array_distinct(F.split("text", "\n"))
+    each = docs.select("doc_id", F.explode(lines_of).alias("text_line")).where(~F.col("text_line").rlike(r"^[\x20\x09-\x0D]*$"))
+    # Leaf of the tree: token count and leading tokens. Only hashes are exchanged here; the table is read four times.
+    hashed = each.withColumn("tokens", _tokens(F.col("text_line"))).select(
+        "doc_id", line_hash(F.col("text_line")).alias("line"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf")
     )
-    occurrences = placed.select("doc_id", "line", "leaf").distinct()
+    occurrences = written(hashed.distinct(), "lines")
     # A leaf needs min_docs documents at all: most lines of running prose go here.
     busy = occurrences.groupBy("leaf").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    alive = occurrences.join(busy, "leaf")
-    lines = alive.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"))
-    texts = placed.join(busy, "leaf", "left_semi").groupBy("line").agg(F.first("text_line").alias("text_line"))
+    alive = written(occurrences.join(busy, "leaf"), "alive-lines")
+    lines = alive.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("rep"))
+    # A line's text comes from one document that has it.
+    wanted = lines.groupBy("rep").agg(F.collect_set("line").alias("wanted"))
+    holders = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("wanted", lines_of.alias("ls"))
+    texts = holders.select(F.explode(F.filter("ls", lambda x: F.array_contains("wanted", line_hash(x)))).alias("text_line"))
+    texts = texts.groupBy(line_hash(F.col("text_line")).alias("line")).agg(F.first("text_line").alias("text_line"))
     split = lines.join(texts, "line").select("leaf", "line", "docs", _tokens(F.col("text_line")).alias("tokens"))
     words = split.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token"))
     common = words.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n")
