@@ -46,3 +46,14 @@ def curve_lines(curves: DataFrame, key: str = "doc_id") -> DataFrame:
     both = curves.select(key, F.posexplode(F.arrays_zip("curve", "smoothed")).alias("i", "x"))
     six = lambda c: F.format_string("%.6f", c)
     return both.select(key, "i", F.concat_ws("\t", F.col("i").cast("string"), six(F.col("x.curve")), six(F.col("x.smoothed"))).alias("line"))
+
+
+def rows_as_json(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, value): each row's columns as one JSON object; nulls are left out."""
+    return rows.select(key, F.to_json(F.struct("*")).alias("value"))
+
+
+def signals_as_json(signals: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, value): boundary scores rounded half away from zero to four decimals, with reasons."""
+    scores = [F.round(c, 4).alias(c) for c in ("sim", "entity", "relation", "discourse", "heading", "struct", "orphan", "shift", "budget", "join_score")]
+    return signals.select(key, F.to_json(F.struct("boundary_idx", *scores, "reasons")).alias("value"))

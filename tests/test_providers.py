@@ -101,3 +101,43 @@ def test_rolling_dictionary(spark, tmp_path):
     stream.writeStream.outputMode("update").format("memory").queryName("rolling").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
     got = {r.semantic_key: (sorted(r.places), r.n) for r in spark.table("rolling").collect()}
     assert got == {"k": (["1:0", "2:3"], 2), "z": (["1:1"], 1)}
+
+
+def test_model_operators(spark):
+    from loam.operators import topology
+    from loam.providers import model
+
+    def client():
+        def answer(system, user, schema):
+            fields = schema["properties"]
+            if "relations" in fields:
+                return '{"relations": [{"subject": "a", "predicate": "is", "object": "b"}]}'
+            if "intents" in fields:
+                return '{"intents": [{"query": "what is it", "intent_type": "factual"}]}'
+            if "sections" in fields:
+                return '{"sections": [{"section_id": 1, "classification": "splittable"}, {"section_id": 0, "classification": "odd"}]}'
+            if "chunks" in fields:
+                return '{"chunks": [{"section_ids": [1], "block_range": [0, 2]}]}'
+            if "title" in fields:
+                return json.dumps({"title": user, "semantic_keys": [f"K{len(system)}"], "keywords": ["w"]})
+            return '{"synopsis": "short"}'
+
+        return answer
+
+    docs = spark.createDataFrame([(1, "a text that is long enough"), (2, "short")], "doc_id long, text string")
+    got = docs.select("doc_id", model.relations(F.col("text"), client).alias("r"), model.synopsis(F.col("text"), client).alias("s")).orderBy("doc_id").collect()
+    assert got[0].r[0].confidence == 1.0 and got[0].s == "short" and got[1].r == [] and got[1].s is None
+    asked = model.intents(docs, client, local.hash_embedding).collect()
+    assert [(r.doc_id, r.query) for r in asked] == [(1, "what is it")]
+    blocks = spark.createDataFrame([(1, 0, "# Heading here", "Heading"), (1, 1, "Body text.", "Sentence")], "doc_id long, block_idx int, text string, kind string")
+    tree = topology.section_tree(blocks)
+    assert {r.node_id: r["class"] for r in model.inspect_sections(tree, client).collect()} == {0: "atomic", 1: "splittable", 2: "atomic"}
+    assert [(r.start, r.end) for r in model.refine_partition(tree, client).collect()] == [(0, 2)]
+    chunks = spark.createDataFrame([(1, 1, "second"), (1, 0, "first"), (2, 0, "other")], "doc_id long, idx int, text string")
+    rows = {(r.doc_id, r.idx): r for r in model.rolling_metadata(chunks, client).collect()}
+    assert rows[1, 0].title == "first" and rows[1, 0].semantic_keys != rows[1, 1].semantic_keys and rows[2, 0].keywords == ["w"]
+
+
+def test_json_rows(spark):
+    df = spark.createDataFrame([(1, None, ["x"])], "doc_id long, a string, b array<string>")
+    assert json.loads(writers.rows_as_json(df).first().value) == {"doc_id": 1, "b": ["x"]}
