@@ -205,18 +205,31 @@ def test_winner_order(spark):
 MARKDOWN = "# Guide\n\nAlpha Beta is here. It works well. However, Gamma Delta differs.\n\n## Part\n\n- one\n- two\n\nLast Words of Alpha Beta end.\n"
 
 
-@pytest.mark.parametrize("method", ["chunk", "split", "patterns", "merge", "semantic", "cognitive", "intent", "topo", "enriched"])
-def test_every_method(spark, method):
+@pytest.mark.parametrize("method", ["chunk", "split", "patterns", "merge"])
+def test_plain_methods(spark, method):
     docs = spark.createDataFrame([(1, MARKDOWN), (2, "Plain text. Two sentences."), (3, ""), (4, None)], "doc_id long, text string")
     out = api.chunk_documents(docs, method, **({"patterns": [". "]} if method == "patterns" else {}))
     assert {r.doc_id for r in out.select("doc_id").collect()} == {1, 2} and "text" in out.columns
 
 
-def test_adaptive(spark):
-    docs = spark.createDataFrame([(1, MARKDOWN), (2, "Plain text. Two sentences.")], "doc_id long, text string")
-    chunks, report = api.best_chunks(docs)
-    assert {r.doc_id for r in chunks.collect()} == {1, 2}
-    assert report.where("won").count() == 2 and report.count() == 4
+def test_block_methods(spark, tmp_path):
+    """All block methods on rows prepared once."""
+    docs = spark.createDataFrame([(1, MARKDOWN), (2, "Plain text. Two sentences."), (3, ""), (4, None)], "doc_id long, text string")
+    api.prepared_blocks(docs, lang="en").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for method in ("semantic", "cognitive", "intent", "topo", "enriched"):
+        out = api.chunk_documents(docs, method, rows)
+        assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {1, 2}, method
+
+
+def test_candidates(spark):
+    chunks = spark.createDataFrame([(1, 0, "a", 0, 1), (2, 0, "b", 0, 1)], "doc_id long, idx int, text string, offset_start int, offset_end int")
+    screened = spark.createDataFrame([(1, "x", 0, True, ""), (2, "x", 0, False, ""), (1, "y", 1, True, ""), (2, "y", 1, True, "")], "doc_id long, method string, ord int, included boolean, reason string")
+    all_ = adaptive.candidate_chunks({"x": chunks, "y": chunks}, screened)
+    assert {(r.doc_id, r.method) for r in all_.collect()} == {(1, "x"), (1, "y"), (2, "y")}
+    scores = spark.createDataFrame([(1, "x", 0, 0.9, 1), (1, "y", 1, 0.8, 1), (2, "y", 1, 0.1, 1)], "doc_id long, method string, ord int, composite double, chunk_count long")
+    assert {(r.doc_id, r.method) for r in adaptive.adaptive_chunks(all_, scores).collect()} == {(1, "x"), (2, "y")}
+    assert adaptive.report(scores, screened).where("won").count() == 2
 
 
 def test_sql_functions(spark):
@@ -225,6 +238,8 @@ def test_sql_functions(spark):
 
 
 def test_semantic_single_block(spark):
-    docs = spark.createDataFrame([(1, "One sentence only")], "doc_id long, text string")
-    assert [(r.idx, r.text) for r in api.chunk_documents(docs, "semantic").collect()] == [(0, "One sentence only")]
+    from loam.operators import semantic
+
+    rows = spark.createDataFrame([(1, 0, "One sentence only", 0, [1.0])], "doc_id long, block_idx int, text string, offset_start int, embedding array<double>")
+    assert [(r.idx, r.text) for r in semantic.semantic_chunks(rows).collect()] == [(0, "One sentence only")]
     assert signal.SIM_WINDOW == 3 and segmentation.MAX_BLOCKS == 10_000
