@@ -152,76 +152,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: dict[int, int] = TRAIN_RO
     return SubwordModel(np.frombuffer(got["weights"]), got["bias"]) if got else train([], [], share)
 
 
-def score(self, text: str | None) -> float:
-        words = split_words(text)
-        logit = self.bias + (sum(map(self.words.__getitem__, words)) / len(words) if words else 0.0)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
-
-
-def train(texts: list[str], labels: list[int], share: float | None = None, seed: int = 5) -> SubwordModel:
-    """Fits table and softmax jointly. ``share`` is the share of label 1 where the sample was drawn from."""
-    y = np.array(labels, float)
-    if not len(y) or y.min() == y.max():
-        return SubwordModel(np.zeros(BUCKETS), 500.0 if len(y) and y[0] else -500.0)
-    rng = np.random.default_rng(seed)
-    table = rng.uniform(-0.5, 0.5, (BUCKETS, DIM)) / DIM
-    soft, bias = rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
-    past, past_soft = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8)
-    buckets: dict[str, np.ndarray] = {}
-    bags = []
-    for text in texts:
-        words: dict[str, int] = {}
-        for w in split_words(text):
-            words[w] = words.get(w, 0) + 1
-        idx, weight, n = [], [], max(1, sum(words.values()))
-        for w, count in words.items():
-            if w not in buckets:
-                buckets[w] = np.array(word_buckets(w), np.int32)
-            idx.append(buckets[w])
-            weight.append(np.full(len(buckets[w]), count / n / len(buckets[w]), np.float32))
-        at, inverse = np.unique(np.concatenate(idx), return_inverse=True) if idx else (np.zeros(0, np.int32), np.zeros(0, int))
-        bags.append((at, np.bincount(inverse, np.concatenate(weight), len(at)).astype(np.float32) if idx else np.zeros(0, np.float32)))
-    for epoch in range(EPOCHS):
-        for i in rng.permutation(len(bags)):
-            at, weight = bags[i]
-            rows = table[at]
-            hidden = SCALE * (weight @ rows) if len(at) else np.zeros(DIM)
-            z = hidden @ soft + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[int(y[i])] -= 1
-            bias -= 0.05 * p
-            if len(at):
-                down = SCALE * (soft @ p)
-                step = weight[:, None] * down
-                past[at] += (step * step).mean(axis=1)
-                grad = np.outer(hidden, p)
-                past_soft += grad * grad
-                table[at] = rows - RATE * step / np.sqrt(past[at])[:, None]
-                soft -= RATE * grad / np.sqrt(past_soft)
-    side = soft[:, 1] - soft[:, 0]
-    offset = float(bias[1] - bias[0])
-    if share is not None and 0 < share < 1:
-        seen = float(y.mean())
-        offset += math.log(share / (1 - share)) - math.log(seen / (1 - seen))
-    return SubwordModel(SCALE * (table @ side), offset)
-
-
-def fold(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_label: dict[int, int] = TRAIN_ROWS) -> SubwordModel:
-    """Trains on a bounded sample; label counts cover all training labels."""
-    known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(fold(F.col("doc_id")) != 0)
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label[k]) for k in (0, 1)]
-    sample = F.broadcast(chosen[0].union(chosen[1]))  # bounded by per_label
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text", "toxic").limit(2 * sum(per_label.values())).collect()
-    total = sum(counts.values())
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / total if total else None)
-
-
 def score(docs: DataFrame, model: SubwordModel, *keep: str, name: str = "score") -> DataFrame:
     """The columns ``keep`` (doc_id by default) and the score, as ``name``, of every row."""
     keep = keep or ("doc_id",)
