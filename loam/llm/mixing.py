@@ -83,26 +83,20 @@ def mix_sources(
     )
     placed = (
         sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+        # Never null, so that the join by cell and the window over it share one exchange.
+        .withColumn("mix_key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")))
         .withColumn("draw", hash_unit(F.col("doc_id"), seed + 1))
         .withColumn("size_class", size_class)
         .withColumn("cell", F.floor(F.col("draw") * F.col("cells")).cast("int"))
     )
-    cell = ["plan_source", "size_class", "cell"]
+    cell = ["mix_key", "size_class", "cell"]
     counts = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("in_cell"))
-    before = Window.partitionBy("plan_source").orderBy("size_class", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("plan_source").alias("c_source"), F.col("size_class").alias("c_class"), F.col("cell").alias("c_cell"),
-        F.coalesce(F.sum("in_cell").over(before), F.lit(0)).alias("ahead"),
-    )
+    before = Window.partitionBy("mix_key").orderBy("size_class", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*cell, F.coalesce(F.sum("in_cell").over(before), F.lit(0)).alias("ahead"))
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "draw", "doc_id")) + F.col("ahead")
     crossed = lambda r: F.floor(F.col("offset") + F.col("rate") * r)
     copies = F.least(F.lit(cap), crossed(F.col("rank")) - crossed(F.col("rank") - 1)).cast("int")
-    ranked = placed.join(
-        starts,
-        F.col("plan_source").eqNullSafe(F.col("c_source"))
-        & (F.col("size_class") == F.col("c_class"))
-        & (F.col("cell") == F.col("c_cell")),
-    ).withColumn("rank", rank.cast("double"))
+    ranked = placed.join(starts, cell).withColumn("rank", rank.cast("double"))
     return ranked.select("row", "doc_id", "size", "source_size", "target", copies.alias("copies"))
 
 
