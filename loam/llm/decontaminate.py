@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds find passages near test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages near test items, Smith-Waterman alignment scores them.
 
 Words are lower-cased and freed of ASCII punctuation. Every run of three words of an item is a seed. A first sweep
 over whole documents keeps the places of seeds, through a bit table of fixed size, and cuts out the passage around
-neighbouring places. Seeds are then counted over the whole corpus; those of an item that are no more frequent than
-its median seed are its rare ones, so a passage that leaked into very many documents still has rare seeds. Passages
-join items on rare seeds, and each joined pair is aligned word by word with gaps and mismatches. The score is the
-best local alignment over the item's own length: 1 for a whole literal copy; edits lower it by what they touch.
+neighbouring places. Each passage joins every item of which it holds a seed, however common: counts over the corpus
+cannot choose among an item's seeds, as literal leaks make just the seeds that an edited copy kept look common. Joined
+pairs are aligned word by word with gaps and mismatches, but for those whose common words cannot reach the threshold.
+The score is the best local alignment over the item's own length: 1 for a whole literal copy; edits lower it by what
+they touch.
 
 Only item seeds travel to the documents, as ``BITS`` bits; all else are joins on a seed's hash.
 
@@ -141,13 +142,22 @@ def align(items: list[list[int]], passages: list[list[int]]) -> tuple[np.ndarray
     return best, end
 
 
-def aligned(pairs: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, first_word, last_word) of (doc_id, first, passage, item_id, item) rows."""
+def aligned(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, score, first_word, last_word) of the (doc_id, first, passage, item_id, item) rows that score
+    ``threshold`` or more."""
+
+    def reachable(item: str, passage: str) -> bool:
+        """No alignment matches more words of the item than the passage holds."""
+        a, b = item.split(), set(passage.split())
+        return MATCH * sum(w in b for w in a) / (MATCH * max(1, len(a))) >= threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, ALIGN_ROWS):
                 part = batch.slice(lo, ALIGN_ROWS)
+                part = part.filter(pa.array(map(reachable, part.column("item").to_pylist(), part.column("passage").to_pylist()), pa.bool_()))
+                if not part.num_rows:
+                    continue
                 doc, first, passage, item_id, item = (c.to_pylist() for c in part.columns)
                 number: dict[str, int] = {}
                 code = lambda text: [number.setdefault(w, len(number)) for w in text.split()]
@@ -177,15 +187,12 @@ def contaminated(docs: DataFrame, items: DataFrame, gram: int = GRAM, threshold:
     reach = seeds.agg(F.max("n_words")).first()[0] or 0
     passages = written(seeded_passages(docs, seed_bits(seeds), reach, gram), "decon-passages").withColumn("pid", F.xxhash64("doc_id", "first", "passage"))
     hits = passages.select("pid", F.explode("seeds").alias("seed"))
-    found = seeds.select("item_id", "seed").join(hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), "seed")
-    middle = found.groupBy("item_id").agg(F.percentile_approx("n", 0.5, 10_000).alias("middle"))
-    rare = found.join(middle, "item_id").where("n <= middle").select("item_id", "seed")
-    pairs = hits.join(rare, "seed").select("pid", "item_id").distinct()
+    pairs = hits.join(seeds.select("item_id", "seed"), "seed").select("pid", "item_id").distinct()
     texts = seeds.select("item_id", "item").distinct()
     joined = passages.dropDuplicates(["pid"]).join(pairs, "pid").join(texts, "item_id")
     best = F.max(F.struct("score", "first_word", "last_word"))
     return (
-        aligned(joined).where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(best.alias("best"))
+        aligned(joined, threshold).where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(best.alias("best"))
         .select("doc_id", "item_id", "best.score", "best.first_word", "best.last_word")
     )
 

@@ -58,6 +58,24 @@ def test_common_passage_keeps_its_seeds(spark):
     assert got.count() == 60
 
 
+def test_edited_copy_beside_verbatim_leaks(spark):
+    """Verbatim leaks make the seeds that an edited copy kept the common ones of their item; the copy is found still."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    item = [word() for _ in range(25)]
+    edited = [word() if k % 5 == 4 else w for k, w in enumerate(item)]
+    for leaks in (1, 30):
+        docs = [(i, " ".join([word() for _ in range(30)] + item)) for i in range(leaks)]
+        docs += [(100, " ".join([word() for _ in range(30)] + edited)), (101, " ".join([word() for _ in range(40)] + item[:3]))]
+        bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        got = {r.doc_id: r.score for r in decontaminate.contaminated(frame(spark, [(d, t, "s") for d, t in docs]), bench).collect()}
+        assert set(got) == {*range(leaks), 100}
+        assert got[100] == brute_align(item, edited) / (MATCH * 25)
+    stray = [(i, " ".join(word() for _ in range(20)), 0, 1, " ".join(item)) for i in range(600)] + [(600, " ".join(item), 0, 1, " ".join(item))]
+    pairs = spark.createDataFrame(stray, "doc_id long, passage string, first long, item_id long, item string").coalesce(1)
+    assert [r.doc_id for r in decontaminate.aligned(pairs).collect()] == [600]
+
+
 BAD = ["scumword", "vilething", "awfulness"]
 
 
