@@ -5,11 +5,14 @@ agree. Here the shards that get a BK-tree of their own are the documents with th
 ``TABLES`` random orders: at similarity s a pair misses all of them with probability (1 - s) ** TABLES, 0.00006 at
 0.8. A bucket of more than ``TREE_NODES`` texts is cut by a second least shingle in the same way.
 
-Within a bucket each text searches the tree within ``RADIUS`` bits; a candidate is linked if the estimate from
-``SIGNATURE`` least-shingle bytes is no lower than ``MARGIN`` below the threshold and the two are not joined yet.
-Texts that agree with a tree member in nearly all signature bytes are linked to it and stay out of the tree, so a
-large group of close copies does not make a large tree. The links, at most a few a text, are then checked on the
-whole shingle sets; only those at the threshold or above count.
+Within a bucket each text searches the tree within ``RADIUS`` bits; a candidate is a text whose estimate from
+``SIGNATURE`` least-shingle bytes is no lower than ``MARGIN`` below the threshold. Candidates only part the bucket
+into pieces that no similar pair crosses. Texts that agree with a tree member in nearly all signature bytes and bits
+stay out of the tree, so a large group of close copies does not make a large tree; the search reaches as much further
+as they may differ from their member. A piece that several buckets find is kept once.
+
+Within a piece links are made on the whole shingle sets alone: two texts are passed over only if exact links join them
+already, or if their sizes or estimates rule them out. So a false candidate never stands in the way of a true one.
 
 Exact copies fall together first. Defined results: a null text is the empty text, and all empty texts are one
 group; a text of fewer words than a shingle is one shingle; a null doc_id ranks last; repeated rows are one row of
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,8 @@ from loam.llm.store import written
 
 SHINGLE, SIMILARITY = 5, 0.8
 TABLES, SIGNATURE, RADIUS, MARGIN = 6, 128, 20, 0.06
-#: Share of signature bytes from which a text stays out of the tree.
-CLOSE = 0.97
+#: Share of signature bytes and number of different bits at which a text stays out of the tree.
+CLOSE, CLOSE_BITS = 0.97, 2
 TREE_NODES = 1_000
 LAST_ID = 2**63 - 1
 
@@ -94,46 +98,49 @@ def bucket_members(texts: DataFrame) -> DataFrame:
     return few.unionByName(cut.where("t2 <> t").select(F.xxhash64("bucket", "t2", "key").alias("bucket"), "h", "fp", "sig"))
 
 
-def tree_links(h: list[int], fp: list[int], sig: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """At most one link fewer than texts: first those at the estimated threshold, then the best of those just below it
-    between groups still apart."""
-    tree, held, groups, links, doubtful = BKTree(), [], Groups(len(h)), [], []
-    sure, enough, margin = CLOSE * SIGNATURE, similarity * SIGNATURE, (similarity - MARGIN) * SIGNATURE
+def tree_pieces(fp: list[int], sig: np.ndarray, similarity: float) -> list[list[int]]:
+    """The groups of two or more members that chains of candidates join."""
+    tree, held, groups = BKTree(), [], Groups(len(fp))
+    sure, enough = CLOSE * SIGNATURE, (similarity - MARGIN - (1 - CLOSE)) * SIGNATURE
     for i, value in enumerate(fp):
         inside = False
-        for _, j in sorted((d, held[node]) for node, d in tree.within(value, RADIUS)):
+        for d, j in sorted((d, held[node]) for node, d in tree.within(value, RADIUS + CLOSE_BITS)):
             if groups.find(i) == groups.find(j):
                 continue
             same = int(np.count_nonzero(sig[i] == sig[j]))
             if same >= enough:
                 groups.join(i, j)
-                links.append((h[i], h[j]))
-                inside = inside or same >= sure
-            elif same >= margin:
-                doubtful.append((-same, i, j))
+                inside = inside or (same >= sure and d <= CLOSE_BITS)
         if not inside:
             tree.add(value)
             held.append(i)
-    links.extend((h[i], h[j]) for _, i, j in sorted(doubtful) if groups.join(i, j))
-    return links
+    pieces: dict[int, list[int]] = {}
+    for i in range(len(fp)):
+        pieces.setdefault(groups.find(i), []).append(i)
+    return [x for x in pieces.values() if len(x) > 1]
 
 
-def candidate_links(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): hashes of texts that may be similar."""
+def candidate_pieces(members: DataFrame, similarity: float) -> DataFrame:
+    """(piece, h, sig): sets of texts among which some may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in sorted_groups(batches):
             if group.num_rows < 2:
                 continue
-            h, fp = group.column(1).to_pylist(), [x & 0xFFFFFFFFFFFFFFFF for x in group.column(2).to_pylist()]
-            sig = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-            links = tree_links(h, fp, sig, similarity)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+            h, fp = group.column(1).to_numpy(), [x & 0xFFFFFFFFFFFFFFFF for x in group.column(2).to_pylist()]
+            sigs = group.column(3).to_pylist()
+            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, SIGNATURE)
+            pieces = tree_pieces(fp, sig, similarity)
+            if pieces:
+                names = np.array([xxhash.xxh64_intdigest(h[x].tobytes()) for x in pieces], np.uint64).view(np.int64)
+                at = np.concatenate(pieces)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(names, list(map(len, pieces)))), pa.array(h[at]), pa.array([sigs[i] for i in at.tolist()], pa.binary())],
+                    ["piece", "h", "sig"],
+                )
 
     dealt = members.select("bucket", "h", "fp", "sig").repartition("bucket").sortWithinPartitions("bucket", "h")
-    links = dealt.mapInArrow(run, "a long, b long")
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(run, "piece long, h long, sig binary").distinct()
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -148,25 +155,54 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("h", "text").mapInArrow(run, "h long, shingles array<long>")
 
 
-def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more."""
+def exact_links(sets: list[np.ndarray], sig: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a Jaccard similarity of ``similarity`` or more, at most one fewer than members, that join all such."""
+    size, root, links = np.array(list(map(len, sets))), np.arange(len(sets)), []
+    enough = (similarity - MARGIN) * SIGNATURE
+    for i in range(1, len(sets)):
+        at = np.flatnonzero(np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i]))
+        same = np.count_nonzero(sig[at] == sig[i], axis=1)
+        near = np.flatnonzero(same >= enough)
+        at = at[near[np.argsort(-same[near], kind="stable")]]
+        while len(at):
+            j, at = at[0], at[1:]
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= similarity * (size[i] + size[j] - common):
+                links.append((i, int(j)))
+                root[root == root[j]] = root[i]
+                at = at[root[at] != root[i]]
+    return links
+
+
+def verified(pieces: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links that join the texts of each piece whose shingle sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in sorted_groups(batches):
+            h = group.column(1).to_pylist()
+            sig = np.frombuffer(b"".join(group.column(2).to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+            sets = []
+            for chunk in group.column(3).chunks:
+                values, bound = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+                sets.extend(values[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist()))
+            links = [(h[i], h[j]) for i, j in exact_links(sets, sig, similarity)]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
     text = F.coalesce("text", F.lit(""))
-    needed = links.select(F.col("a").alias("h")).union(links.select("b")).distinct()
-    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(needed, "h").dropDuplicates(["h"])
+    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(pieces.select("h").distinct(), "h").dropDuplicates(["h"])
     sets = written(shingle_sets(texts, shingle), "near-sets")
-    both = links.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b"
-    )
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    dealt = pieces.join(sets, "h").select("piece", "h", "sig", "shingles").repartition("piece").sortWithinPartitions("piece", "h")
+    links = dealt.mapInArrow(run, "a long, b long")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(d, h, n, root): for each different (doc_id, text), its number of rows and its group; ``d`` has null as the largest."""
     marks = written(signatures(docs, shingle), "near-marks")
     texts = marks.dropDuplicates(["h"]).select("h", "fp", "keys", "sig")
-    links = written(candidate_links(bucket_members(texts), similarity), "near-candidates")
-    roots = components(verified(links, docs, shingle, similarity), "near-links")
+    pieces = written(candidate_pieces(bucket_members(texts), similarity), "near-pieces")
+    roots = components(verified(pieces, docs, shingle, similarity), "near-links")
     rows = marks.groupBy("d", "h").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(roots, F.col("h") == F.col("node"), "left").select("d", "h", "n", F.coalesce("root", "h").alias("root"))
 

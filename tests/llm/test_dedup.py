@@ -178,6 +178,50 @@ def test_near_duplicates(spark):
     assert near_duplicates.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def near_brute(rows, similarity=0.8):
+    """Sorted groups of doc_ids joined by pairs of similar shingle sets."""
+    sets = []
+    for _, text in rows:
+        w = text.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if group[i] != group[j] and common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                group = [group[j] if g == group[i] else g for g in group]
+    return sorted(sorted(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in set(group))
+
+
+def near_groups(spark, rows):
+    found = {}
+    for r in near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.root, []).append(r.d)
+    return sorted(map(sorted, found.values()))
+
+
+def templated(seed):
+    """Edited copies of four texts, many pairs just below the threshold and some above it."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(4):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for k in range(60):
+            t = list(base)
+            for at in rng.sample(range(0, 200, 8), rng.choice([3, 3, 4])):
+                t[at] = f"x{k}" if rng.random() < 0.7 else "shared"
+            rows.append((1000 * g + k, " ".join(t)))
+    return rows
+
+
+def test_near_duplicates_in_templated_groups(spark):
+    """False candidates just below the threshold do not stand in the way of pairs above it."""
+    rows = templated(21)
+    want = near_brute(rows)
+    assert len(want) == 64
+    assert near_groups(spark, rows) == want
+
+
 def test_lines(spark):
     rows = [(i, f"Copyright {i} by Some Great Company of 19{i:02d}\nown line number {'abcdefghij'[i]} alone {'klmnopqrst'[i]}\n\nshared line here") for i in range(5)] + [(10, None), (11, ""), (12, "shared line here"), (12, "shared line here")]
     got = {(r.doc_id, r.text): (r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring_lines(frame(spark, [(d, t, "s") for d, t in rows])).collect()}
