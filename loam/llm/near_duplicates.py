@@ -6,7 +6,9 @@ agree. Here the shards that get a BK-tree of their own are the documents with th
 0.8. A bucket of more than ``TREE_NODES`` texts is cut by a second least shingle in the same way.
 
 Within a bucket each text searches the tree within ``RADIUS`` bits; a candidate is a text whose estimate from
-``SIGNATURE`` least-shingle bytes is no lower than ``MARGIN`` below the threshold. Candidates only part the bucket
+``SIGNATURE`` least-shingle bytes is no lower than ``MARGIN`` below the threshold. At a similarity of 0.8 a pair is
+outside the margin with probability 0.00004 and outside the radius with 0.00001 at most (sets of four and five
+shingles; fingerprints are of the sets, as the similarity is). Candidates only part the bucket
 into pieces that no similar pair crosses. Texts that agree with a tree member in nearly all signature bytes and bits
 stay out of the tree, so a large group of close copies does not make a large tree; the search reaches as much further
 as they may differ from their member. A piece that several buckets find is kept once.
@@ -34,7 +36,7 @@ from loam.llm.spans import mix, text_batches
 from loam.llm.store import written
 
 SHINGLE, SIMILARITY = 5, 0.8
-TABLES, SIGNATURE, RADIUS, MARGIN = 6, 128, 20, 0.06
+TABLES, SIGNATURE, RADIUS, MARGIN = 6, 128, 26, 0.15
 #: Share of signature bytes and number of different bits at which a text stays out of the tree.
 CLOSE, CLOSE_BITS = 0.97, 2
 TREE_NODES = 1_000
@@ -71,7 +73,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             for _, _, texts in text_batches(batch):
                 for text in texts:
                     hashes = shingle_hashes(text.translate(LOWER).split(), shingle)
-                    fp = fingerprint(hashes)
+                    fp = fingerprint(np.unique(hashes))
                     k, s = signer.sign(hashes)
                     fps.append(fp - (1 << 64) if fp >> 63 else fp)
                     keys.append(k)

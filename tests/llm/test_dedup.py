@@ -222,6 +222,16 @@ def test_near_duplicates_in_templated_groups(spark):
     assert near_groups(spark, rows) == want
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs at 0.80 and little above, and a passage repeated in one text of a pair, are found as by brute force."""
+    rng = random.Random(14)
+    rows = [(d + 10_000 * k, text) for k, seed in enumerate((12, 13, 15)) for d, text in templated(seed)]
+    for k in range(20):
+        body, passage = ([f"v{rng.randrange(5000)}" for _ in range(n)] for n in (300, 100))
+        rows += [(90_000 + 2 * k, " ".join(body + passage)), (90_001 + 2 * k, " ".join(body + 20 * passage))]
+    assert near_groups(spark, rows) == near_brute(rows)
+
+
 def test_lines(spark):
     rows = [(i, f"Copyright {i} by Some Great Company of 19{i:02d}\nown line number {'abcdefghij'[i]} alone {'klmnopqrst'[i]}\n\nshared line here") for i in range(5)] + [(10, None), (11, ""), (12, "shared line here"), (12, "shared line here")]
     got = {(r.doc_id, r.text): (r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring_lines(frame(spark, [(d, t, "s") for d, t in rows])).collect()}
