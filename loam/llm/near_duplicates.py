@@ -3,7 +3,8 @@
 At a similarity of 0.8 two 64-bit fingerprints differ in up to about twenty bits, too many for blocks of bits to
 agree. Here the shards that get a BK-tree of their own are the documents with the same least shingle under one of
 ``TABLES`` random orders: at similarity s a pair misses all of them with probability (1 - s) ** TABLES, 0.00006 at
-0.8. A bucket of more than ``TREE_NODES`` texts is cut by a second least shingle in the same way.
+0.8. A bucket of more than ``TREE_NODES`` texts is cut by a second least shingle in the same way;
+a pair whose shared buckets are all that large must share two, which it misses with probability 0.0016 at 0.8.
 
 Within a bucket each text searches the tree within ``RADIUS`` bits; a candidate is a text whose estimate from
 ``SIGNATURE`` least-shingle bytes is no lower than ``MARGIN`` below the threshold. At a similarity of 0.8 a pair is
