@@ -1,7 +1,7 @@
 """What the two substring operators share: winnowed anchors, classes of equal surroundings, spans per document.
 
-A document row is known by (``d``, ``th``): its doc_id, with null as the largest, and a hash of its text. Rows
-that agree in both are repeats of each other and get the same result.
+A document row is known by (``d``, ``th``): its doc_id, where null ranks with the largest number, and a hash of its
+text. Rows that agree in both are repeats of each other and get the same result; their spans are listed once.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.spans import SpanHasher, Texts, ranges, text_batches, winnow
+from loam.llm.store import discard, written
 
 LAST_ID = 2**63 - 1
 RUNS = "d long, th long, start int, n int, anchor long, seg long"
@@ -21,11 +22,9 @@ SPANS = "array<struct<start:int,n:int>>"
 
 
 def keyed_docs(docs: DataFrame) -> DataFrame:
-    """(d, th, text), a null text as the empty one."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text")
-    )
+    """(d, th, text, doc_id), a null text as the empty one."""
+    text, id_ = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(id_, F.lit(LAST_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"), id_.alias("doc_id"))
 
 
 class Units:
@@ -61,7 +60,7 @@ def anchored_runs(keyed: DataFrame, unit: str, k: int, t: int, seed: int = 11) -
                     ["d", "th", "start", "n", "anchor", "seg"],
                 )
 
-    return keyed.mapInArrow(run, RUNS)
+    return keyed.select("d", "th", "text").mapInArrow(run, RUNS)
 
 
 def with_wanted(keyed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -102,9 +101,38 @@ def class_windows(keyed: DataFrame, classes: DataFrame, unit: str, t: int, seed:
     return with_wanted(keyed, classes).mapInArrow(run, "anchor long, seg long, weight long, j int, wh long").distinct()
 
 
-def spans_per_document(spans: DataFrame) -> DataFrame:
-    """(d, th, spans) out of rows with a list each."""
-    return spans.groupBy("d", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+def shared_runs(runs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The runs of ``wanted`` anchors, written. Both sides of the join are plain exchanges, so that adaptive execution
+    can split the rows of a hot anchor over many tasks."""
+    anchors = written(wanted, f"{name}-anchors")
+    shared = written(runs.join(anchors, "anchor"), f"{name}-shared")
+    discard(anchors)
+    return shared
+
+
+def spans_per_document(spans: DataFrame, t: int) -> DataFrame:
+    """(d, th, spans) out of rows with a list each: the maximal runs (start, n) of windows of ``t`` units that overlap or
+    touch. Repeats of a row bring equal lists, which count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, start, n = span_arrays(batch.column(2))
+            order = np.lexsort((start, owner))
+            owner, start, end = owner[order], start[order].astype(np.int64), (start + n)[order].astype(np.int64)
+            # A running maximum of the ends within each document: owners are made to ascend by a step above all ends.
+            step = owner * (int(end.max(initial=0)) + t + 1)
+            reach = np.maximum.accumulate(end + step) if len(end) else end
+            first = np.ones(len(start), bool)
+            first[1:] = (owner[1:] != owner[:-1]) | (start[1:] + step[1:] > reach[:-1] + t - 1)
+            at = np.flatnonzero(first)
+            last = np.append(at[1:], len(start)) - 1
+            starts, size = start[at], (reach[last] - step[last]) - start[at] if len(at) else start[at]
+            bound = np.searchsorted(owner[at], np.arange(batch.num_rows + 1)) if len(at) else np.zeros(batch.num_rows + 1, int)
+            flat = pa.StructArray.from_arrays([pa.array(starts.astype(np.int32)), pa.array(size.astype(np.int32))], ["start", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), flat)], ["d", "th", "spans"])
+
+    listed = spans.groupBy("d", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return listed.mapInArrow(run, f"d long, th long, spans {SPANS}")
 
 
 def span_list(*pairs: Column) -> Column:
@@ -113,9 +141,7 @@ def span_list(*pairs: Column) -> Column:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text, spans) of every row of ``docs``."""
-    keyed = keyed_docs(docs)
-    id_ = F.when(F.col("d") != LAST_ID, F.col("d")).alias("doc_id")
-    return keyed.join(spans, ["d", "th"], "left").select(id_, "text", "spans")
+    return keyed_docs(docs).join(spans, ["d", "th"], "left").select("doc_id", "text", "spans")
 
 
 def span_arrays(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

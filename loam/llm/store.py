@@ -1,9 +1,14 @@
-"""Intermediate results in the folder that driver and executors share."""
+"""Intermediate results in the folder that driver and executors share.
+
+A table is deleted when its user says that a later one has taken its place, all others when the driver's Python ends.
+"""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_HELD: dict[str, SparkSession] = {}
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _HELD[path] = spark
+    return path
+
+
+def delete(path: str) -> None:
+    spark = _HELD.pop(path, None)
+    if spark is not None:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing will read again."""
+    for df in tables:
+        delete(df._loam_path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_HELD):
+        with suppress(Exception):  # the session may have ended before
+            delete(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +64,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loam_path = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

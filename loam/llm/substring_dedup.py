@@ -4,15 +4,17 @@ Seeds are winnowed: of every window of 50 words the 10-gram of least hash is its
 always share one. Documents join on anchors that occur in two or more of them. The occurrences of an anchor
 fall into classes that agree on everything their windows cover; where all agree the whole run is a repeat.
 Otherwise each class extends the seed to both sides, word by word within the window's reach, and every
-extension to a full window is compared with all other classes at once by its hash. A document loses the words
-of each window that also starts in a document with a smaller doc_id; neighbouring windows make up its maximal
-repeats. Pairs of documents are never listed.
+extension to a full window is compared with all other classes at once by its hash, so pairs of documents are never
+listed. Windows that start in a document with a smaller doc_id too are then joined to maximal repeats, each at least
+as long as a window, and the document loses their words.
 
-Hot anchors and hot classes meet only in aggregates with map-side combining and in joins on a key.
+Hot anchors, classes and windows meet in aggregates with map-side combining, and in joins of two plain exchanges that
+adaptive execution splits.
 
 Defined results: a null or empty text has no words; texts under 50 words lose nothing; of rows that repeat one
-doc_id none is "smaller" than the other; a null doc_id counts as larger than all others; an empty table gives an
-empty result; other columns are ignored.
+doc_id none is "smaller" than the other; a null doc_id ranks with the largest number; two documents that start a
+passage alike need no order but that of their ids (ties do not arise otherwise); a text is hashed whole, at about 40
+bytes of memory a byte, whatever its length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,31 +27,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.repeats import anchored_runs, class_windows, keyed_docs, span_arrays, span_list, spans_per_document, with_spans
+from loam.llm.repeats import anchored_runs, class_windows, keyed_docs, shared_runs, span_arrays, span_list, spans_per_document, with_spans
 from loam.llm.spans import Texts, keep_mask, text_batches
-from loam.llm.store import written
+from loam.llm.store import discard, written
 
 WINDOW, GRAM = 50, 10
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(d, th, spans): for each document, runs (start, n) of windows that start in an earlier document too."""
+    """(d, th, spans): for each document, maximal runs (start, n) of windows that start in an earlier document too."""
     keyed = keyed_docs(docs)
     runs = written(anchored_runs(keyed, "words", gram, window), "substring-runs")
     anchors = runs.groupBy("anchor").agg(
         F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("seg").alias("s0"), F.max("seg").alias("s1")
     ).where("lo < hi").drop("hi")
-    shared = written(runs.join(anchors, "anchor"), "substring-shared")
+    shared = shared_runs(runs, anchors, "substring")
+    discard(runs)
     plain = shared.where("s0 = s1 and d > lo").select("d", "th", span_list(F.col("start"), F.col("n")).alias("spans"))
     mixed = shared.where("s0 <> s1").select("d", "th", "start", "n", "anchor", "seg")
     classes = mixed.groupBy("anchor", "seg").agg(F.min(F.struct("d", "th", "start", "n")).alias("rep")).withColumn("weight", F.col("rep.d"))
     windows = written(class_windows(keyed, classes, "words", window), "substring-windows")
-    first = windows.groupBy("anchor", "wh").agg(F.min("weight").alias("first"))
-    extended = windows.join(first, ["anchor", "wh"]).groupBy("anchor", "seg").agg(F.collect_list(F.struct("j", "first")).alias("firsts"))
+    # A window of one class only starts first where its class does.
+    many = written(windows.groupBy("anchor", "wh").agg(F.min("weight").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "substring-firsts")
+    met = windows.join(many, ["anchor", "wh"], "left").select("anchor", "seg", "j", F.coalesce("first", "weight").alias("first"))
+    extended = written(met.groupBy("anchor", "seg").agg(F.collect_list(F.struct("j", "first")).alias("firsts")), "substring-extended")
+    discard(windows, many)
     earlier = F.filter("firsts", lambda x: x["first"] < F.col("d"))
     one = lambda x: F.struct((F.col("start") + x["j"]).alias("start"), F.lit(1).alias("n"))
     partly = mixed.join(extended, ["anchor", "seg"]).select("d", "th", F.transform(earlier, one).alias("spans"))
-    return spans_per_document(plain.union(partly.where(F.size("spans") > 0)))
+    spans = written(spans_per_document(plain.union(partly.where(F.size("spans") > 0)), window), "substring-spans")
+    discard(shared, extended)
+    return spans
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -17,8 +17,10 @@ A bucket of more than ``BUCKET_CLASSES`` different stretches (one passage in ver
 gathered into a task: its strings are counted by hash with map-side combining.
 
 Defined results: a null text is the empty text; texts under 200 bytes lose nothing; repeated rows are repeats of
-each other and lose all their long strings; bytes are removed whatever characters they cut; an empty table gives
-an empty result; other columns are ignored.
+each other and lose all their long strings; bytes are removed whatever characters they cut; a null doc_id ranks with
+the largest number, which only decides whose copy of a stretch is read; ties do not arise, as all places of a string
+are removed; a text is hashed whole, at about 40 bytes of memory a byte; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.repeats import anchored_runs, class_windows, keyed_docs, span_arrays, span_list, spans_per_document, wanted_arrays, with_spans, with_wanted
+from loam.llm.repeats import anchored_runs, class_windows, keyed_docs, shared_runs, span_arrays, span_list, spans_per_document, wanted_arrays, with_spans, with_wanted
 from loam.llm.spans import SpanHasher, keep_mask, ranges, text_batches
-from loam.llm.store import written
+from loam.llm.store import discard, written
 
 DEPTH, GRAM, STEP = 200, 32, 25
 #: Different stretches in one bucket that a task takes at most: 3 MB, which merge in about two seconds.
@@ -190,32 +192,36 @@ def merged_spans(stretches: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def counted_spans(windows: DataFrame) -> DataFrame:
     """The same for classes of hot buckets, from the hashes of their windows."""
-    often = windows.groupBy("anchor", "wh").agg(F.sum("weight").alias("total")).where("total > 1").drop("total")
+    often = written(windows.groupBy("anchor", "wh").agg(F.sum("weight").alias("total")).where("total > 1").drop("total"), "suffix-often")
     one = F.struct(F.col("j").alias("start"), F.lit(1).alias("n"))
     return windows.join(often, ["anchor", "wh"]).groupBy("anchor", "seg").agg(F.collect_list(one).alias("inner"))
 
 
 def repeated_byte_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """(d, th, spans): for each document, runs (start, n) of windows that occur elsewhere too."""
+    """(d, th, spans): for each document, maximal runs (start, n) of windows that occur elsewhere too."""
     keyed = keyed_docs(docs)
     runs = written(anchored_runs(keyed, "bytes", gram, depth), "suffix-runs")
     anchors = runs.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("c"), F.min("seg").alias("s0"), F.max("seg").alias("s1")
     ).where("c > 1").drop("c")
-    shared = written(runs.join(anchors, "anchor"), "suffix-shared")
+    shared = shared_runs(runs, anchors, "suffix")
+    discard(runs)
     plain = shared.where("s0 = s1").select("d", "th", span_list(F.col("start"), F.col("n")).alias("spans"))
     mixed = shared.where("s0 <> s1").select("d", "th", "start", "n", "anchor", "seg")
     classes = written(
         mixed.groupBy("anchor", "seg").agg(F.min(F.struct("d", "th", "start", "n")).alias("rep"), F.count(F.lit(1)).alias("weight")),
         "suffix-classes",
     )
-    hot = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_classes")).where(F.col("n_classes") > BUCKET_CLASSES).drop("n_classes")
+    hot = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_classes")).where(F.col("n_classes") > BUCKET_CLASSES).drop("n_classes"), "suffix-hot")
     merged = merged_spans(class_bytes(keyed, classes.join(hot, "anchor", "left_anti"), depth), depth)
     windows = written(class_windows(keyed, classes.join(hot, "anchor", "left_semi"), "bytes", depth), "suffix-windows")
-    inner = merged.unionByName(counted_spans(windows)).where(F.size("inner") > 0)
+    inner = written(merged.unionByName(counted_spans(windows)).where(F.size("inner") > 0), "suffix-inner")
+    discard(windows, classes, hot)
     moved = F.transform("inner", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), x["n"].alias("n")))
     partly = mixed.join(inner, ["anchor", "seg"]).select("d", "th", moved.alias("spans"))
-    return spans_per_document(plain.union(partly))
+    spans = written(spans_per_document(plain.union(partly), depth), "suffix-spans")
+    discard(shared, inner)
+    return spans
 
 
 def _remover(depth: int, digest: bool):

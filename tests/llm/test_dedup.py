@@ -239,3 +239,30 @@ def test_lines(spark):
         assert got[(i, f"own line number {'abcdefghij'[i]} alone {'klmnopqrst'[i]}\n")] == (4, 2)
     assert got[(10, None)] == (0, 0) and got[(11, "")] == (1, 0) and got[(12, "")] == (1, 1)
     assert line_dedup.line_digest(frame(spark, [])).count() == 0
+
+
+def test_repeated_rows_stay_linear(spark):
+    """Spans of rows that repeat doc_id and text, or lack a doc_id, are listed once, whatever their number."""
+    text = " ".join(f"w{i % 97}x{i}" for i in range(120))
+    rows = [(1, text, "s")] + [(7, text, "s")] * 400 + [(None, text, "s")] * 400 + [(2**63 - 1, text, "s")]
+    docs = frame(spark, rows).repartition(6)
+    for spans in (substring_dedup.repeated_spans(docs), suffix_dedup.repeated_byte_spans(docs)):
+        listed = [len(r.spans) for r in spans.collect()]
+        assert 2 <= len(listed) <= 3 and max(listed) == 1
+    got = substring_dedup.substring_digest(docs).collect()
+    assert sorted((r.n_removed, r.doc_id is None) for r in got if r.doc_id != 1) == [(120, False)] * 401 + [(120, True)] * 400
+    assert [r.n_removed for r in got if r.doc_id == 1] == [0] and sum(r.doc_id == 2**63 - 1 for r in got) == 1
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    """A text of 1.5 MB beside its own tail; columns named like helpers are ignored."""
+    rng = random.Random(31)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(250_000))
+    rows = [(1, long), (2, long[-90_000:]), (3, "short"), (4, None)]
+    docs = spark.createDataFrame([(d, t, 1, 2, "x", 3, "y", 0) for d, t in rows], "doc_id long, text string, d int, th int, spans string, anchor int, line string, fp int")
+    got = {r.doc_id: r for r in substring_dedup.substring_digest(docs).collect()}
+    assert [tuple(got[d])[1:] for d in (1, 2, 3, 4)] == [x[1:] for x in brute_substring(rows)]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_digest(docs).collect()}
+    assert [(got[d].n_bytes, got[d].n_removed, got[d].n_spans) for d in (1, 2, 3, 4)] == [(len(long), 90_000, 1), (90_000, 90_000, 1), (5, 0, 0), (0, 0, 0)]
+    assert line_dedup.line_digest(docs).count() == 4
+    assert {r.doc_id: r.component_id for r in simhash.simhash_digest(docs).collect()}.keys() == {1, 2, 3, 4}
