@@ -3,8 +3,9 @@
 At a similarity of 0.8 two 64-bit fingerprints differ in up to about twenty bits, too many for blocks of bits to
 agree. Here the shards that get a BK-tree of their own are the documents with the same least shingle under one of
 ``TABLES`` random orders: at similarity s a pair misses all of them with probability (1 - s) ** TABLES, 0.00006 at
-0.8. A bucket of more than ``TREE_NODES`` texts is cut by a second least shingle in the same way;
-a pair whose shared buckets are all that large must share two, which it misses with probability 0.0016 at 0.8.
+0.8. A bucket of more than ``TREE_NODES`` texts is cut by the least shingles under ``TABLES`` more orders of their own,
+so a pair inside it misses the cut with 0.00006 as well: 0.00013 at most in all, whatever the size of a bucket. What
+stays large after that shares two least shingles, so much of it is similar, and is searched whole in one task.
 
 Within a bucket each text searches the tree within ``RADIUS`` bits; a candidate is a text whose estimate from
 ``SIGNATURE`` least-shingle bytes is no lower than ``MARGIN`` below the threshold. At a similarity of 0.8 a pair is
@@ -15,11 +16,14 @@ stay out of the tree, so a large group of close copies does not make a large tre
 as they may differ from their member. A piece that several buckets find is kept once.
 
 Within a piece links are made on the whole shingle sets alone: two texts are passed over only if exact links join them
-already, or if their sizes or estimates rule them out. So a false candidate never stands in the way of a true one.
+already, or if their sizes or estimates rule them out. So a false candidate never stands in the way of a true one. A
+text meets a few members of each group of linked texts first, so a large group of similar texts costs about one
+comparison each; a task holds the shingle hashes of one piece.
 
 Exact copies fall together first. Defined results: a null text is the empty text, and all empty texts are one
-group; a text of fewer words than a shingle is one shingle; a null doc_id ranks last; repeated rows are one row of
-their group; an empty table gives an empty result; other columns pass through unread.
+group; a text of fewer words than a shingle is one shingle; a very long text counts by all its shingles; a null doc_id
+ranks with the largest number; of a tie (rows that repeat doc_id and text) one row stays; an empty table gives an empty
+result; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -37,28 +41,30 @@ from loam.llm.spans import mix, text_batches
 from loam.llm.store import written
 
 SHINGLE, SIMILARITY = 5, 0.8
-TABLES, SIGNATURE, RADIUS, MARGIN = 6, 128, 26, 0.15
+TABLES, LEVELS, SIGNATURE, RADIUS, MARGIN = 6, 2, 128, 26, 0.15
 #: Share of signature bytes and number of different bits at which a text stays out of the tree.
 CLOSE, CLOSE_BITS = 0.97, 2
+#: Texts of a bucket up to which it is not cut again.
 TREE_NODES = 1_000
+#: Members of a linked group that a text meets before it is held against all.
+GREETERS = 4
 LAST_ID = 2**63 - 1
 
 
 class Signer:
     def __init__(self):
         rng = np.random.default_rng(17)
-        self.order = rng.integers(0, 2**63, TABLES, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.order = rng.integers(0, 2**63, TABLES * LEVELS, np.uint64) * np.uint64(2) + np.uint64(1)
         self.a = (rng.integers(0, 2**31, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
         self.b = rng.integers(0, 2**32, SIGNATURE, np.uint64).astype(np.uint32)
 
     def sign(self, hashes: np.ndarray) -> tuple[list[int], bytes]:
         hashes = np.unique(hashes)
-        keys = np.full(TABLES, np.uint64(2**64 - 1))
+        keys = np.full(TABLES * LEVELS, np.uint64(2**64 - 1))
         least = np.full(SIGNATURE, np.uint32(2**32 - 1))
         for lo in range(0, len(hashes), 4096):
             part = hashes[lo : lo + 4096]
-            for t, odd in enumerate(self.order):
-                keys[t] = min(keys[t], mix(part * odd).min())
+            np.minimum(keys, mix(part[:, None] * self.order).min(axis=0), out=keys)
             low = (part >> np.uint64(32)).astype(np.uint32)
             np.minimum(least, (low[:, None] * self.a + self.b).min(axis=0), out=least)
         return keys.view(np.int64).tolist(), least.astype(np.uint8).tobytes()
@@ -90,15 +96,24 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def bucket_members(texts: DataFrame) -> DataFrame:
-    """(bucket, h, fp, sig) of buckets with two texts or more, hot ones cut once more."""
-    first = texts.select(F.posexplode("keys").alias("t", "key"), "h", "fp", "sig", "keys").select(
-        F.xxhash64("t", "key").alias("bucket"), "t", "h", "fp", "sig", "keys"
-    )
-    size = first.select("bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = first.join(size, "bucket")
-    few = shared.where(F.col("n") <= TREE_NODES).select("bucket", "h", "fp", "sig")
-    cut = shared.where(F.col("n") > TREE_NODES).select("bucket", "t", "h", "fp", "sig", F.posexplode("keys").alias("t2", "key"))
-    return few.unionByName(cut.where("t2 <> t").select(F.xxhash64("bucket", "t2", "key").alias("bucket"), "h", "fp", "sig"))
+    """(bucket, h, fp, sig) of buckets with two texts or more, hot ones cut by the orders of the next level.
+
+    Buckets are numbers of 64 bits until their last cut; only those are joined with what a task needs of a text.
+    """
+    out, now = None, texts.select("h", F.lit(0).cast("long").alias("bucket"))
+    for level in range(LEVELS):
+        keys = texts.select("h", F.slice("keys", level * TABLES + 1, TABLES).alias("keys"))
+        each = now.join(keys, "h").select("h", "bucket", F.posexplode("keys").alias("t", "key")) if level else keys.select("h", F.lit(0).cast("long").alias("bucket"), F.posexplode("keys").alias("t", "key"))
+        named = each.select("h", F.xxhash64("bucket", F.lit(level), "t", "key").alias("bucket"))
+        size = written(named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
+        last = level == LEVELS - 1
+        few = named.join(size if last else size.where(F.col("n") <= TREE_NODES), "bucket").select("bucket", "h")
+        out = few if out is None else out.unionByName(few)
+        hot = size.where(F.col("n") > TREE_NODES)
+        if last or hot.isEmpty():
+            break
+        now = written(named.join(hot, "bucket").select("bucket", "h"), "near-hot")
+    return out.join(texts.select("h", "fp", "sig"), "h").select("bucket", "h", "fp", "sig")
 
 
 def tree_pieces(fp: list[int], sig: np.ndarray, similarity: float) -> list[list[int]]:
@@ -162,8 +177,11 @@ def exact_links(sets: list[np.ndarray], sig: np.ndarray, similarity: float) -> l
     """Pairs of a Jaccard similarity of ``similarity`` or more, at most one fewer than members, that join all such."""
     size, root, links = np.array(list(map(len, sets))), np.arange(len(sets)), []
     enough = (similarity - MARGIN) * SIGNATURE
-    for i in range(1, len(sets)):
-        at = np.flatnonzero(np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i]))
+    greeters: dict[int, list[int]] = {0: [0]} if len(sets) else {}
+
+    def meet(i: int, at: np.ndarray) -> None:
+        """Links of ``i`` to those of ``at`` that no link joins to it yet."""
+        at = at[(root[at] != root[i]) & (np.minimum(size[at], size[i]) >= similarity * np.maximum(size[at], size[i]))]
         same = np.count_nonzero(sig[at] == sig[i], axis=1)
         near = np.flatnonzero(same >= enough)
         at = at[near[np.argsort(-same[near], kind="stable")]]
@@ -172,8 +190,19 @@ def exact_links(sets: list[np.ndarray], sig: np.ndarray, similarity: float) -> l
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if common >= similarity * (size[i] + size[j] - common):
                 links.append((i, int(j)))
-                root[root == root[j]] = root[i]
+                old, new = root[i], root[j]
+                root[root == old] = new
+                greeters[new] = (greeters[new] + greeters.pop(old, []))[-GREETERS:]
                 at = at[root[at] != root[i]]
+
+    for i in range(1, len(sets)):
+        meet(i, np.array([j for some in greeters.values() for j in some]))
+        others = np.flatnonzero(root[:i] != root[i])
+        if len(others):
+            meet(i, others)
+        known = greeters.setdefault(root[i], [])
+        if len(known) < GREETERS:
+            known.append(i)
     return links
 
 

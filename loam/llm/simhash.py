@@ -12,9 +12,13 @@ The trees travel by an exchange on the bucket and not by broadcast, as the finge
 no size bound. Links join fingerprints, not documents: copies fall together before. Components follow by
 large-star and small-star rounds, each written to the shared folder.
 
+Documents meet fingerprints in joins of two plain exchanges, which adaptive execution splits where one fingerprint is
+that of very many documents.
+
 Defined results: a null text is the empty text; a text without words has fingerprint zero and links like any
-other; repeated rows stay; a null doc_id is grouped but names no component unless it is alone (then null); an
-empty table gives an empty result; other columns are ignored.
+other; a very long text counts whole, its hashes in blocks; ties (a bit set in just half the hashes) are 0; repeated
+rows stay; a null doc_id is grouped but names no component unless it is alone (then null); an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.spans import Texts, text_batches
-from loam.llm.store import written
+from loam.llm.store import discard, written
 
 SEED = 42
 #: Fingerprints that one tree holds before its bucket is cut by further blocks.
@@ -169,7 +173,7 @@ def bucket_links(fps: DataFrame, radius: int = 2) -> DataFrame:
         return df.select("fp", F.explode(keys).alias("bucket"))
 
     first = keyed(fps, masks)
-    size = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    size = written(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-buckets")
     shared = first.join(size, "bucket")
     # In a bucket of too many, all bits are cut again into four; the two shared blocks then agree anyway.
     fine = [mask(4 * i, 4) | mask(16 + 4 * i, 4) | mask(32 + 4 * i, 4) | mask(48 + 4 * i, 4) for i in range(4)]
@@ -199,13 +203,14 @@ def components(links: DataFrame, name: str = "components", smaller: Callable = F
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = written(large, name)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a")
         small = small.select("b", "m").where("b <> m").toDF("a", "b").union(low.select("a", F.col("m").alias("b")))
-        edges = written(small.distinct(), name)
+        spent, edges = edges, written(small.distinct(), name)
+        discard(spent, least, large, low)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
@@ -221,7 +226,9 @@ def simhash_groups(docs: DataFrame, words_per_shingle: int = 3, radius: int = 2)
     roots = components(bucket_links(classes.select("fp"), radius), "simhash-links")
     grouped = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(grouped.select("fp", "root").join(least, "root").drop("root"), "fp")
+    named = written(grouped.select("fp", "root").join(least, "root").drop("root"), "simhash-named")
+    discard(classes)
+    return marked.join(named, "fp")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:

@@ -266,3 +266,40 @@ def test_very_long_text_and_clashing_columns(spark):
     assert [(got[d].n_bytes, got[d].n_removed, got[d].n_spans) for d in (1, 2, 3, 4)] == [(len(long), 90_000, 1), (90_000, 90_000, 1), (5, 0, 0), (0, 0, 0)]
     assert line_dedup.line_digest(docs).count() == 4
     assert {r.doc_id: r.component_id for r in simhash.simhash_digest(docs).collect()}.keys() == {1, 2, 3, 4}
+
+
+def test_near_duplicates_in_cut_buckets(spark, monkeypatch):
+    """Buckets cut by further orders lose no pair, and a large group of similar texts is one group."""
+    monkeypatch.setattr(near_duplicates, "TREE_NODES", 5)
+    rng = random.Random(41)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = templated(33)
+    for k in range(150):
+        t = list(base)
+        t[rng.randrange(150)] = f"y{k}"
+        rows.append((50_000 + k, " ".join(t)))
+    assert near_groups(spark, rows) == near_brute(rows)
+
+
+def test_exact_links_join_what_brute_force_joins():
+    rng = random.Random(5)
+    signer = near_duplicates.Signer()
+    for trial in range(20):
+        base = np.array(rng.sample(range(10**6), 60), np.uint64)
+        sets = []
+        for k in range(40):
+            s = base.copy()
+            s[rng.sample(range(60), rng.choice([3, 5, 6, 7, 8]))] = np.array([10**7 + 100 * k + x for x in range(rng.choice([3, 5, 6, 7, 8]))][:1], np.uint64)
+            sets.append(np.unique(s))
+        sig = np.frombuffer(b"".join(signer.sign(near_duplicates.mix(s.copy()))[1] for s in sets), np.uint8).reshape(-1, 128)
+        links = near_duplicates.exact_links(sets, sig, 0.8)
+        assert len(links) < len(sets)
+        group, want = list(range(40)), list(range(40))
+        for i, j in links:
+            group = [group[j] if g == group[i] else g for g in group]
+        for i in range(40):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                    want = [want[j] if g == want[i] else g for g in want]
+        assert [group.index(g) for g in group] == [want.index(g) for g in want]
