@@ -2,18 +2,22 @@
 
 A line goes down a tree of fixed depth: first by its number of tokens, then by its leading tokens, where a token
 that holds a digit counts as variable. The lines of a leaf share those; in the other places a token is constant if
-``min_docs`` documents have it in that leaf and place, and variable otherwise. A line's template is its constant
-tokens with ``<*>`` for the variable ones. Where more than ``1 - similarity`` of the places would be variable the
-line is its own template. Templates that occur in ``min_docs`` documents or more are dropped from all of them.
+it stands there ``min_docs`` times, where each different line counts once for each document that has it, and variable
+otherwise. A line's template is its constant tokens with ``<*>`` for the variable ones. Where more than
+``1 - similarity`` of the places would be variable the line is its own template. Templates that occur in ``min_docs``
+different documents or more are dropped from all of them; how often one document repeats a template does not matter.
 
 Counting goes over different lines, not over all: a line's documents are counted first, and only leaves that reach
 ``min_docs`` are taken apart into tokens. All counts are aggregates with map-side combining; a line is compared with
-counts, never with other lines. Lines stay in their documents: what is dropped returns to a document as a list of
-hashes of its own lines.
+counts, never with other lines. What is joined to hot leaves, lines and templates is written first, so that the joins
+are of two plain exchanges and adaptive execution can split them. Lines stay in their documents: what is dropped
+returns to a document as a list of hashes of its own lines.
 
 Defined results: a null text stays null with 0 lines; an empty text has one empty line; blank lines are never dropped;
-repeated rows of one doc_id count as one document and each is cleaned; a null doc_id counts as one document; an
-empty table gives an empty result; other columns pass through unread, but for old ``n_lines`` and ``n_dropped``.
+a very long text or line counts whole; of a tie (equally many constant places as ``similarity`` asks for) the template
+is generalised; repeated rows of one doc_id count as one document and each is cleaned; rows without a doc_id count as
+one document together; an empty table gives an empty result; other columns pass through unread, but for old ``n_lines``
+and ``n_dropped``.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.store import written
+from loam.llm.store import discard, written
 
 DEPTH, SIMILARITY, MIN_DOCS = 3, 0.7, 3
 SPACE = r"[\x20\x09-\x0D]+"
+#: What stands for a missing doc_id where documents are counted.
+NO_ID = -(2**63)
 
 
 def line_hash(line: Column) -> Column:
@@ -46,8 +52,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
     )
     occurrences = written(hashed.distinct(), "lines")
     # A leaf needs min_docs documents at all: most lines of running prose go here.
-    busy = occurrences.groupBy("leaf").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    known = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    busy = written(occurrences.groupBy("leaf").agg(F.count_distinct(known).alias("n")).where(F.col("n") >= min_docs).select("leaf"), "busy-leaves")
     alive = written(occurrences.join(busy, "leaf"), "alive-lines")
+    discard(occurrences, busy)
     lines = alive.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("rep"))
     # A line's text comes from one document that has it.
     wanted = lines.groupBy("rep").agg(F.collect_set("line").alias("wanted"))
@@ -64,10 +72,13 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
     ).select("leaf", "line", F.col("parts.token").alias("parts"))
     kept = F.size(F.filter("parts", lambda t: t != "<*>"))
     template = F.when(kept >= similarity * F.size("parts"), F.xxhash64("leaf", "parts")).otherwise(F.xxhash64("leaf", "line", F.lit("own")))
-    templates = generalised.select("line", template.alias("template"))
-    named = alive.select("doc_id", "line").join(templates, "line")
-    often = named.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    return named.join(often.select("template"), "template", "left_semi").select("doc_id", "line")
+    templates = written(generalised.select("line", template.alias("template")), "line-templates")
+    named = written(alive.select("doc_id", "line").join(templates, "line"), "named-lines")
+    discard(alive, templates)
+    often = written(
+        named.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template"), "often-templates"
+    )
+    return named.join(often, "template").select("doc_id", "line")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:

@@ -1,13 +1,16 @@
 """Media columns: byte payloads as grey PNG images in a binary column, read back with cosine-transform hashes.
 
-The encoder writes 8-bit greyscale PNG with one chosen scan-line filter; the decoder walks the chunks,
-tests every checksum, inflates the image data and undoes all five PNG filters with numpy. The feature is
-the sign pattern of the lowest 8 x 8 cosine-transform coefficients of the image averaged down to 32 x 32,
-against their median (the constant term is left out of the median).
-
-Defined results: a null text is the empty text and gives the one all-255 image; equal texts give equal values;
-repeated rows stay; an empty table gives an empty result; a damaged image raises ``ValueError``; other columns
-are ignored. Memory: one text, its image and its samples at a time.
+The encoder writes 8-bit greyscale PNG and gives every scan line the filter, sub or up, that leaves the smaller sum of
+absolute differences; the decoder walks the chunks, tests every checksum, inflates the image data and undoes the
+filters with numpy: sub and up by running sums, average and Paeth, which only foreign images have here, sample by
+sample. The image column is stored as Parquet and read back before anything is computed of it. The feature is the sign
+pattern of the lowest 8 x 8 cosine-transform coefficients of the image averaged down to 32 x 32, against their median
+(the constant term is left out of the median).
+
+Defined results: a null text is the empty text and gives the one all-255 image; a very long text is one tall image;
+equal texts give equal values; of a tie between the filters sub is taken; repeated rows stay; an empty table gives an
+empty result; a damaged image raises ``ValueError``; other columns are ignored. Memory: one Arrow batch and about
+``PART_BYTES`` of images beside it, or one image if that is larger.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm.store import written
+
 BLOCK = 576
 #: Samples in a row: 24 x 24 payload blocks lie one below the other.
 WIDTH = 576
 GRID, LOW = 32, 8
+PART_BYTES = 4 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -62,11 +68,19 @@ def paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
     return np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, up, corner))
 
 
-def encode_png(payload: bytes, width: int = WIDTH, kind: int = 0, level: int = 1) -> bytes:
+def encode_png(payload: bytes, width: int = WIDTH, kind: int | None = None, level: int = 1) -> bytes:
+    """``kind`` is one filter for all lines; None chooses sub or up line by line."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, width)
     lines = np.empty((len(image), width + 1), np.uint8)
-    lines[:, 0] = kind
-    lines[:, 1:] = filter_rows(image, kind)
+    if kind is None:
+        sub, up = filter_rows(image, 1), filter_rows(image, 2)
+        weight = lambda x: np.minimum(x, -x).sum(axis=1, dtype=np.int64)
+        least = weight(up) < weight(sub)
+        lines[:, 0] = 1 + least
+        lines[:, 1:] = np.where(least[:, None], up, sub)
+    else:
+        lines[:, 0] = kind
+        lines[:, 1:] = filter_rows(image, kind)
     head = struct.pack(">IIBBBBB", width, len(image), 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
@@ -170,12 +184,15 @@ def encode_media(docs: DataFrame) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            for lo in range(0, batch.num_rows, 256):
-                raw = [x.as_py() or b"" for x in texts.slice(lo, 256)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, 256), pa.array(map(len, raw), pa.int64()), pa.array([encode_png(pad_payload(x)) for x in raw], pa.binary())],
-                    ["doc_id", "n_bytes", "media"],
-                )
+            lo, held, sizes, images = 0, 0, [], []
+            for i, text in enumerate(texts, 1):
+                raw = text.as_py() or b""
+                sizes.append(len(raw))
+                images.append(encode_png(pad_payload(raw)))
+                held += len(images[-1])
+                if held >= PART_BYTES or i == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, i - lo), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], ["doc_id", "n_bytes", "media"])
+                    lo, held, sizes, images = i, 0, [], []
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_bytes long, media binary")
 
@@ -202,4 +219,4 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    return read_media(encode_media(docs))
+    return read_media(written(encode_media(docs), "media"))

@@ -4,16 +4,20 @@ The sort key of a document is a 64-bit hash of its text, so equal texts are neig
 different texts spread evenly. Splitters are found without sorting: each round counts the exact bytes
 below every candidate boundary over the whole table and keeps, for each splitter, only the interval
 between two candidates that holds its target, until that interval weighs less than the tolerance or
-is a single key. The rows are then exchanged once.
+is a single key. The rows (a few numbers each) are then exchanged once, to ranges of the key within their
+shard, and sorted there: the slots of a shard follow its keys.
 
 Groups of equal texts that weigh more than 1/``HEAVY`` of a shard, at most ``HEAVY`` times the number
-of shards, are placed first, largest to the emptiest shard; the splitters share out the rest over the
-room that is left. A group stays whole unless it alone is above a shard's share by more than
-``tolerance``; then it is dealt over several shards in pieces of what each has room for.
-
-Defined results: a null text has size 8 and the CRC of the empty text, and stays apart from empty texts
-(it need not share their shard); repeated rows are separate rows with slots of their own; a null doc_id is
-allowed; an empty table gives an empty result; other columns are ignored.
+of shards, are placed first, largest to the emptiest shard, and stand after the other rows there; the splitters
+share out the rest over the room that is left. Heavy groups are found by counting, too: only the cells of the key
+that weigh as much are looked into. A group stays whole unless it alone is above a shard's share by more than
+``tolerance``; then it is dealt over several shards in pieces of what each has room for. Rows of a heavy group are
+ranked in hashed cells, with a salt for rows that share a doc_id, so that no task holds a group.
+
+Defined results: a null text has size 8 and is the empty text otherwise, in whose shard it stands; a very long text
+is hashed whole; ties (rows of equal text and doc_id) take slots in the order of the files that were read; repeated
+rows are separate rows with slots of their own; a null doc_id is allowed; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ TOLERANCE = 0.05
 #: A splitter is settled when the interval that holds its target weighs less than this part of a shard.
 SPLITTER_TOLERANCE = 0.0005
 PROBE_BITS = 8
+#: Upper bits of the key that name the cells in which heavy groups are looked for.
+CELL_BITS = 16
 #: Rows that one range within a shard, numbered by one task, holds on average.
 RANGE_ROWS = 20_000
 
@@ -67,6 +73,25 @@ def find_splitters(keyed: DataFrame, targets: list[float], tolerance: float) ->
     return [done[i] for i in range(len(targets))]
 
 
+def heavy_groups(rows: DataFrame, least: float) -> list[tuple[int, int, int]]:
+    """(key, bytes, rows) of all keys above ``least`` bytes. As many cells as fit into the table at that weight, and
+    no more keys, reach the driver."""
+    cell = F.shiftright("key", 64 - CELL_BITS).cast("int")
+    cells = [r["cell"] for r in rows.groupBy(cell.alias("cell")).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > least).collect()]
+    if not cells:
+        return []
+    found = rows.where(cell.isin(cells)).groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    return [(r["key"], r["bytes"], r["rows"]) for r in found.where(F.col("bytes") > least).collect()]
+
+
+def range_of(splitters: list[int], ranges: int) -> Column:
+    """Which of ``ranges`` equal parts of its shard's interval a key falls in; it never falls as the key rises."""
+    edge = [-(2.0**63), *map(float, splitters), 2.0**63]
+    shard, key = F.col("shard"), F.col("key").cast("double")
+    low, high = (F.element_at(F.array(*map(F.lit, e)), shard + 1) for e in (edge[:-1], edge[1:]))
+    return F.least(F.lit(ranges - 1), F.greatest(F.lit(0), F.floor((key - low) / F.greatest(high - low, F.lit(1.0)) * ranges))).cast("int")
+
+
 def shard_of(splitters: list[int]) -> Column:
     """The number of splitters that are <= key, by binary search written out as nested conditions."""
 
@@ -104,20 +129,14 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLE
             "doc_id",
             (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(8)).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-            F.xxhash64(text, F.lit(7)).alias("key"),
+            F.xxhash64(F.coalesce(text, F.lit("")), F.lit(7)).alias("key"),
+            F.monotonically_increasing_id().alias("salt"),  # written, so it stays as it is
         ),
         "shard-keys",
     )
     total, n_rows = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     mean = (total or 0) / shards
-    # At most HEAVY * shards groups can weigh that much.
-    heavy = [
-        (r["key"], r["bytes"], r["rows"])
-        for r in rows.groupBy("key")
-        .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-        .where(F.col("bytes") > mean / HEAVY)
-        .collect()
-    ]
+    heavy = heavy_groups(rows, mean / HEAVY)
     pieces, room = deal_heavy(heavy, shards, mean, tolerance)
     schema = "h_key long, h_shard int, h_from long, h_to long"
     dealt = spark.createDataFrame(pieces, schema)
@@ -128,22 +147,20 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLE
     light_total = (total or 0) - sum(b for _, b, _ in heavy)
     for r in room[:-1]:
         targets.append((targets[-1] if targets else 0.0) + (light_total * r / left if left else 0.0))
-    splitters = find_splitters(light, targets, mean * SPLITTER_TOLERANCE) if light_total else []
-    by_splitter = shard_of(sorted(splitters))
+    splitters = sorted(find_splitters(light, targets, mean * SPLITTER_TOLERANCE)) if light_total else [0] * (shards - 1)
     ranges = max(1, -(-(n_rows or 0) // (shards * RANGE_ROWS)))
-    part = F.pmod(F.xxhash64(F.col("key"), F.col("doc_id")), F.lit(ranges)).cast("int")
-    single = marked.where("h_n is null or h_n = 1").select(
-        "doc_id", "size", "text_crc32", "key", F.coalesce(F.col("h_shard"), by_splitter).alias("shard")
-    )
-    placed = single
+    # Heavy rows stand in hashed ranges after those of the key.
+    hashed = (F.lit(ranges) + F.pmod(F.xxhash64("doc_id", F.pmod("salt", F.lit(64))), F.lit(ranges * 64))).cast("int")
+    columns = ["doc_id", "size", "text_crc32", "key", "salt", "shard"]
+    placed = marked.where("h_key is null").withColumn("shard", shard_of(splitters)).select(*columns, range_of(splitters, ranges).alias("part"))
+    placed = placed.unionByName(marked.where("h_n = 1").withColumn("shard", F.col("h_shard")).select(*columns, hashed.alias("part")))
     if any(n > 1 for n in _counts(pieces).values()):
-        placed = single.unionByName(_split_groups(marked.where("h_n > 1"), dealt, ranges))
-    placed = placed.withColumn("part", part)
+        placed = placed.unionByName(_split_groups(marked.where("h_n > 1"), dealt, ranges).select(*columns, hashed.alias("part")))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).select(
         "shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")
     )
-    inside = Window.partitionBy("shard", "part").orderBy("key", "doc_id", "text_crc32")
+    inside = Window.partitionBy("shard", "part").orderBy("key", "doc_id", "salt")
     return placed.join(starts, ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.row_number().over(inside) - 1 + F.col("ahead")).alias("slot")
     )
@@ -159,20 +176,20 @@ def _counts(pieces: list[tuple]) -> dict[int, int]:
 def _split_groups(rows: DataFrame, dealt: DataFrame, ranges: int) -> DataFrame:
     """Rows of groups too large for one shard, by their rank within the group: counts per hashed cell plus
     a rank inside each."""
-    cell = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(max(1, ranges) * 64)).cast("int")
+    cell = F.pmod(F.xxhash64("doc_id", F.pmod("salt", F.lit(64)), F.lit(3)), F.lit(ranges * 64)).cast("int")
     celled = rows.withColumn("cell", cell)
     before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     ahead = celled.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n")).select(
         "key", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")
     )
-    inside = Window.partitionBy("key", "cell").orderBy("doc_id")
+    inside = Window.partitionBy("key", "cell").orderBy("doc_id", "salt")
     ranked = celled.join(ahead, ["key", "cell"]).withColumn(
         "at", F.row_number().over(inside) - 1 + F.col("ahead")
     )
     piece = dealt.select(F.col("h_key").alias("p_key"), F.col("h_shard").alias("p_shard"), "h_from", "h_to")
     return ranked.drop("h_key", "h_shard", "h_n").join(
         F.broadcast(piece), (F.col("key") == F.col("p_key")) & (F.col("at") >= F.col("h_from")) & (F.col("at") < F.col("h_to"))
-    ).select("doc_id", "size", "text_crc32", "key", F.col("p_shard").alias("shard"))
+    ).select("doc_id", "size", "text_crc32", "key", "salt", F.col("p_shard").alias("shard"))
 
 
 def sharding_digest(docs: DataFrame) -> DataFrame:

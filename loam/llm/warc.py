@@ -8,13 +8,16 @@ its digest and returns the records.
 Of pages with equal payloads the one with the largest page_id is the response and the others are revisits of it,
 without a payload of their own. Files go to the folder all executors share, through Arrow's file systems, so it
 may be a remote store; a file's name is its own for each task attempt, and only files of finished tasks are in the
-manifest, so a repeated task does no harm. Memory: one record and a compression buffer at a time when writing and
-normalising.
+manifest, so a repeated task does no harm. Memory: one record and ``PIECE`` inflated bytes at a time when normalising,
+one batch of pages when writing. Every record has an id of its own; page ids travel in headers of their own.
 
-Defined results: null html is the empty payload, and empty payloads count as equal payloads; a null url is empty,
-and line breaks in a url are percent-encoded; repeated rows with the largest page_id are all responses; a null
-page_id is smaller than any other and is never referred to; an empty table gives an empty result; other columns are
-ignored.
+A foreign archive may hold several gzip members: they are read one after another. One that ends inside a record or a
+member is an error.
+
+Defined results: null html is the empty payload, and empty payloads count as equal payloads; a very long payload is one
+record; a null url is empty, and line breaks in a url are percent-encoded; of a tie (repeated rows with the largest
+page_id) all are responses; a null page_id is smaller than any other and is never referred to; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,17 +38,18 @@ from loam.llm.store import fresh_dir, written
 ARCHIVE_BYTES = 16 << 20
 PIECE = 1 << 18
 LEVEL = 1
-PAGE = "urn:page:"
+RECORD_ID, PAGE_ID, REFERS_TO = "WARC-Record-ID", "X-Page-ID", "X-Refers-To-Page-ID"
 
 
 def classify(pages: DataFrame) -> DataFrame:
     """Adds ``refers_to``: the page_id of the response that a revisit repeats, null for responses.
 
-    Only digests that occur twice are joined back, and hot digests meet a single row each.
+    Only digests that occur twice are joined back. They are written first, so that the join is of two plain exchanges
+    and adaptive execution can split the copies of one payload over many tasks.
     """
     keyed = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1"))
-    twice = (
-        keyed.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = written(
+        keyed.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-twice"
     )
     revisit = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     return keyed.join(twice, "sha1", "left").select("page_id", "url", "html", revisit.alias("refers_to"))
@@ -59,16 +63,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{PAGE}{'' if page_id is None else page_id}>",
+        f"{RECORD_ID}: <urn:uuid:{uuid.uuid4()}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"WARC-Payload-Length: {len(payload)}",
+        f"{PAGE_ID}: {'' if page_id is None else page_id}",
         "Content-Type: application/http; msgtype=response",
     ]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is not None:
-        head.append(f"WARC-Refers-To: <{PAGE}{refers_to}>")
+        head.append(f"{REFERS_TO}: {refers_to}")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         payload = b""
     block = http + payload
@@ -127,25 +132,48 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     return written(as_bytes.mapInArrow(run, "path string, records long"), "warc-manifest")
 
 
-def stream_records(source) -> Iterator[bytes]:
-    """The records of one gzip stream, read in pieces; a record's length comes from its own header."""
-    inflate, held = zlib.decompressobj(31), bytearray()
+def inflated(source) -> Iterator[bytes]:
+    """The content of all gzip members of a file, at most PIECE bytes at a time; zeros between members are padding."""
+    inflate, data, ended = None, b"", False
     while True:
-        end = held.find(b"\r\n\r\n")
-        if end >= 0:
-            need = end + 4 + int(headers(bytes(held[:end]))["content-length"]) + 4
-            while len(held) < need:
-                if not (piece := source.read(PIECE)):
-                    raise ValueError("the archive ends inside a record")
-                held += inflate.decompress(piece)
-            yield bytes(held[:need])
-            del held[:need]
-        elif piece := source.read(PIECE):
-            held += inflate.decompress(piece)
+        if not data and not ended:
+            data = source.read(PIECE)
+            ended = not data
+        if inflate is None:
+            data = data.lstrip(b"\0")
+            if data:
+                inflate = zlib.decompressobj(31)
+            elif ended:
+                return
+            continue
+        piece = inflate.decompress(data, PIECE)
+        if piece:
+            yield piece
+        if inflate.eof:
+            data, inflate = inflate.unused_data, None
+        elif ended and not data and not piece:
+            raise ValueError("the archive ends inside a gzip member")
         else:
-            if held or not inflate.eof:
-                raise ValueError("the archive ends inside a record")
-            return
+            data = inflate.unconsumed_tail
+
+
+def stream_records(source) -> Iterator[bytes]:
+    """The records of an archive, read in pieces; a record's length comes from its own header."""
+    held, need = bytearray(), 0
+    for piece in inflated(source):
+        held += piece
+        while len(held) >= need:
+            if not need:
+                end = held.find(b"\r\n\r\n")
+                if end < 0:
+                    break
+                need = end + 4 + int(headers(bytes(held[:end]))["content-length"]) + 4
+            if len(held) >= need:
+                yield bytes(held[:need])
+                del held[:need]
+                need = 0
+    if held:
+        raise ValueError("the archive ends inside a record")
 
 
 def normalise(manifest: DataFrame, folder: str) -> DataFrame:
@@ -163,7 +191,7 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                         packer = zlib.compressobj(LEVEL, wbits=31)
                         member = packer.compress(raw) + packer.flush()
                         out.write(member)
-                        lines.append(f"{at} {len(member)} {headers(raw[: raw.index(b'\r\n\r\n')])['warc-record-id']}\n")
+                        lines.append(f"{at} {len(member)} {headers(raw[: raw.index(b'\r\n\r\n')])[RECORD_ID.lower()]}\n")
                         at += len(member)
                 with store.open_output_stream(f"{base}/{name}.idx", compression=None) as out:
                     out.write("".join(lines).encode())
@@ -186,8 +214,7 @@ def read_archives(members: DataFrame, folder: str, with_payload: bool = True) ->
     """The records of normalised archives, each read by its offset; a response's payload must fit its digest."""
 
     def page(value: str | None) -> int | None:
-        text = (value or "").strip("<>").removeprefix(PAGE)
-        return int(text) if text else None
+        return int(value) if value else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -204,9 +231,9 @@ def read_archives(members: DataFrame, folder: str, with_payload: bool = True) ->
                             found, payload = parse(zlib.decompress(source.read(int(length)), 31))
                             sha = found["warc-payload-digest"].removeprefix("sha1:")
                             kind = found["warc-type"]
-                            if found["warc-record-id"] != name or kind == "response" and digest(payload) != sha:
+                            if found[RECORD_ID.lower()] != name or kind == "response" and digest(payload) != sha:
                                 raise ValueError(f"{path} at {offset}: the record does not fit its index or digest")
-                            rows.append((page(name), int(found["warc-payload-length"]), sha, kind, page(found.get("warc-refers-to")), payload if with_payload else None))
+                            rows.append((page(found[PAGE_ID.lower()]), int(found["warc-payload-length"]), sha, kind, page(found.get(REFERS_TO.lower())), payload if with_payload else None))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
     return _spread(members).mapInArrow(run, RECORDS)

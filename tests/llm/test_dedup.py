@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from helpers import brute_components, brute_simhash, brute_substring, brute_suffix, frame
+from helpers import brute_components, brute_lines, brute_simhash, brute_substring, brute_suffix, frame, near_brute, rows_of
 
 from loam.llm import line_dedup, near_duplicates, simhash, substring_dedup, suffix_dedup
 from loam.llm.spans import SpanHasher, keep_mask, ranges, sliding_min
@@ -178,21 +178,6 @@ def test_near_duplicates(spark):
     assert near_duplicates.keep_one_of_each(docs.limit(0)).count() == 0
 
 
-def near_brute(rows, similarity=0.8):
-    """Sorted groups of doc_ids joined by pairs of similar shingle sets."""
-    sets = []
-    for _, text in rows:
-        w = text.split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            common = len(sets[i] & sets[j])
-            if group[i] != group[j] and common >= similarity * (len(sets[i]) + len(sets[j]) - common):
-                group = [group[j] if g == group[i] else g for g in group]
-    return sorted(sorted(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in set(group))
-
-
 def near_groups(spark, rows):
     found = {}
     for r in near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
@@ -303,3 +288,18 @@ def test_exact_links_join_what_brute_force_joins():
                 if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
                     want = [want[j] if g == want[i] else g for g in want]
         assert [group.index(g) for g in group] == [want.index(g) for g in want]
+
+
+def test_lines_brute_force(spark):
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "x1", "22", "delta"]
+    rows = []
+    for d in range(60):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.choice([2, 5, 6]))) for _ in range(rng.randint(0, 4))]
+        lines += [f"Order {rng.randrange(99)} of the shop was sent to {rng.choice(['Ann', 'Bob', 'Cy', 'Di', 'Ed'])} today"] * rng.randint(0, 2)
+        rows.append((d if rng.random() < 0.9 else None, "\n".join(lines)))
+    rows += [(100, None), (101, ""), (102, "\t\n \x0b"), (5, rows[5][1]), (103, "long " * 20000 + "\nOrder 7 of the shop was sent to Zoe today")]
+    got = sorted(map(tuple, line_dedup.line_digest(frame(spark, [(d, t, "s") for d, t in rows]).repartition(4)).collect()), key=str)
+    assert got == sorted(brute_lines(rows), key=str) and any(r[2] for r in got)
+    clash = spark.createDataFrame([(1, "a", 7, "b", 9)], "doc_id long, text string, line int, template string, leaf int")
+    assert rows_of(line_dedup.drop_recurring_lines(clash)) == [{"doc_id": 1, "line": 7, "template": "b", "leaf": 9, "text": "a", "n_lines": 1, "n_dropped": 0}]

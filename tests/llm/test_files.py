@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from helpers import frame
+from helpers import brute_feature, frame, png_samples
 
 from loam.llm import media, sharding, warc
 
@@ -36,6 +36,12 @@ def test_media(spark):
         r = got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert got[1].feature == got[2].feature and got[3].n_bytes == 576
+    stored, used = {r.doc_id: bytes(r.media) for r in media.encode_media(frame(spark, rows)).collect()}, set()
+    for d, png in stored.items():
+        lines, kinds = png_samples(png)
+        used |= set(kinds)
+        assert (got[d].media_bytes, got[d].media_sha256, got[d].feature) == (len(png), hashlib.sha256(png).hexdigest(), brute_feature(lines))
+    assert used == {1, 2}
     assert media.media_digest(frame(spark, [])).count() == 0
 
 
@@ -59,8 +65,18 @@ def test_warc_round_trip(spark):
 def test_warc_stream_records():
     records = [warc.record(i, "u", b"x" * i * 1000, None) for i in range(9)]
     assert list(warc.stream_records(io.BytesIO(zlib.compress(b"".join(records), wbits=31)))) == records
-    with pytest.raises(ValueError):
-        list(warc.stream_records(io.BytesIO(zlib.compress(b"".join(records)[:-30], wbits=31))))
+    members = b"".join(zlib.compress(x, wbits=31) for x in (b"".join(records[:2]), b"".join(records[2:5]) + records[5][:40], records[5][40:] + b"".join(records[6:])))
+    assert list(warc.stream_records(io.BytesIO(members + bytes(9)))) == records and list(warc.stream_records(io.BytesIO(b""))) == []
+    for cut in (zlib.compress(b"".join(records)[:-30], wbits=31), members[:-20], members[:5]):
+        with pytest.raises(ValueError):
+            list(warc.stream_records(io.BytesIO(cut)))
+    packed = io.BytesIO(zlib.compress(bytes(50 << 20), wbits=31))
+    assert max(map(len, warc.inflated(packed))) <= warc.PIECE
+
+
+def test_warc_ids_are_unique():
+    ids = [warc.headers(warc.record(7, "u", b"", 9).partition(b"\r\n\r\n")[0]) for _ in range(5)]
+    assert len({x["warc-record-id"] for x in ids}) == 5 and {x["x-refers-to-page-id"] for x in ids} == {"9"}
 
 
 def check_shards(rows, got, shards, slack):
@@ -82,6 +98,10 @@ def test_shards(spark):
     check_shards(rows, got, 24, 0.05)
     assert len({r["shard"] for r in got if r["text_crc32"] == zlib.crc32(b"same text of a group")}) == 1
     assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+    assert len({r["shard"] for r in got if r["size"] == 8}) == 1
+    many = [(1, "one")] * 700 + [(None, None)] * 500 + [(None, "")] * 300 + [(i, f"text {i}") for i in range(500)]
+    clash = spark.createDataFrame([(d, t, 5, 6, 7, 8) for d, t in many], "doc_id long, text string, key int, shard int, salt int, size int")
+    assert len(check_shards(many, sharding.sharding_digest(clash).collect(), 24, 0.1)) == 24
     assert sharding.sharding_digest(frame(spark, [])).count() == 0
 
 
@@ -92,6 +112,29 @@ def test_shards_of_a_huge_group(spark):
     assert len({r["shard"] for r in got if r["text_crc32"] == zlib.crc32(b"one third of all rows x")}) <= 10
 
 
+def test_slots_follow_the_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 10)
+    rows = [(i, f"{i} " * (i % 50)) for i in range(3000)]
+    docs = frame(spark, [(d, t, "s") for d, t in rows])
+    key = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(text, 7) AS k").collect()}
+    got = sharding.assign_shards(docs).collect()
+    check_shards(rows, got, 24, 0.05)
+    least = sum(r["size"] for r in got) / 24 / sharding.HEAVY
+    light = sorted((r.shard, r.slot, key[r.doc_id]) for r in got if 8 < r["size"] <= least)
+    assert len(light) > 2000 and all(a[2] <= b[2] for a, b in zip(light, light[1:]))
+
+
+def test_heavy_groups_are_exact(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([5, -9, 2**62, rng.randrange(-(2**63), 2**63)]), rng.randint(1, 20)) for _ in range(2000)]
+    total = {}
+    for k, s in rows:
+        b, n = total.get(k, (0, 0))
+        total[k] = (b + s, n + 1)
+    found = sharding.heavy_groups(spark.createDataFrame(rows, "key long, size long"), 300)
+    assert sorted(found) == sorted((k, b, n) for k, (b, n) in total.items() if b > 300) and len(found) == 3
+
+
 def test_splitters_are_exact(spark):
     rng = random.Random(5)
     keys = [(rng.randrange(-(2**63), 2**63), rng.randint(1, 50)) for _ in range(3000)]

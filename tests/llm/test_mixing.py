@@ -31,7 +31,7 @@ def test_targets(spark):
 
 
 def test_edge_rows(spark):
-    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, None, "s"), (3, "", None), (None, "x y", "t"), (4, "w " * 5000, "t")]
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, None, "s"), (3, "", None), (None, "x y", "t"), (None, None, "t"), (4, "w " * 50000, "t")]
     got = mixing_digest(frame(spark, rows)).collect()
     assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == sorted((d or 0, len(words(t))) for d, t, _ in rows)
     assert all(r["taken"] <= 3 * r["size"] for r in got)
@@ -50,6 +50,17 @@ def test_near_target_and_rerun(spark):
     assert all(abs(taken[k] - target[k]) <= 0.01 * target[k] + 40 for k in taken)
 
 
+def test_ranks_over_many_cells(spark):
+    """With cells of five rows each source's ranks run from 1 to its row count: copies differ by one at most."""
+    rows = [(i if i % 3 else None, "w " * (i % 23) + f"x{i}", "s") for i in range(900)]
+    got = mix_sources(frame(spark, rows), cell_rows=5).collect()
+    rate = got[0].target / got[0].source_size
+    assert len(got) == 900 and {r.copies for r in got} <= {int(rate), int(rate) + 1}
+    assert abs(sum(r.copies for r in got) - 900 * rate) <= 1
+    plain = mix_sources(frame(spark, rows), cell_rows=5, whole_rows=False).collect()
+    assert sorted((r.doc_id or -1, r.size, r.copies) for r in got) == sorted((r.doc_id or -1, r.size, r.copies) for r in plain)
+
+
 def test_copies_keep_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 7, 8), (2, "c", "t", 9, 10)], "doc_id long, text string, source string, size int, copies int")
     out = emit_copies(mix_sources(docs))

@@ -1,7 +1,9 @@
 import random
 import zlib
 
-from helpers import SF, frame
+import numpy as np
+import pytest
+from helpers import SF, brute_contamination, brute_score, frame
 
 from loam.llm import decontaminate, toxicity
 from loam.llm.decontaminate import GAP, MATCH, MISMATCH, align
@@ -76,6 +78,37 @@ def test_edited_copy_beside_verbatim_leaks(spark):
     assert [r.doc_id for r in decontaminate.aligned(pairs).collect()] == [600]
 
 
+def test_contamination_brute_force(spark):
+    """Items of all lengths against whole documents: edited, cut and moved copies, short items, other kinds of space."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdé") for _ in range(3)) for _ in range(150)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(some(rng.choice([4, 6, 9, 15, 40])))) for i in range(12)]
+    items += [(20, "Zebra"), (21, "quagga, stripe"), (22, None), (23, "..."), (24, "non\u00a0breaking kept\u3000whole here now")]
+    docs = []
+    for d in range(120):
+        parts = some(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 2)):
+            copy = [w for w in (rng.choice(items)[1] or "").split(" ") if rng.random() > 0.12]
+            parts[rng.randint(0, len(parts)) : 0] = [w if rng.random() > 0.12 else rng.choice(vocabulary) for w in copy]
+        docs.append((d, " ".join(parts)))
+    docs += [(200, "a zebra! ran"), (201, "quagga\x1fstripe"), (202, "quagga no stripe"), (203, "non\u00a0breaking kept\u3000whole here now"), (204, None), (205, "")]
+    table = frame(spark, [(d, t, "s") for d, t in docs]).repartition(3)
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_contamination(docs, items)
+    assert got == want and {(200, 20), (201, 21), (203, 24)} <= set(got) and len(want) > 40
+
+
+def test_passages_reach_as_far_as_their_items(spark):
+    """One long item does not widen the passages of a short one."""
+    words = [f"w{i}" for i in range(400)]
+    items = spark.createDataFrame([(1, " ".join(words[100:110])), (2, " ".join(f"z{i}" for i in range(300)))], "item_id long, text string")
+    seeds = decontaminate.item_seeds(items)
+    table = decontaminate.reach_table(seeds)
+    got = decontaminate.seeded_passages(frame(spark, [(1, " ".join(words), "s")]), table, [3]).collect()
+    assert [(r.first, len(r.passage.split())) for r in got] == [(84, 42)]
+
+
 BAD = ["scumword", "vilething", "awfulness"]
 
 
@@ -105,6 +138,25 @@ def test_toxicity_held_out_and_misspelt(spark):
     assert got[10_002].score == got[10_003].score and all(0 <= r.score <= 1 for r in got.values()) and got[None].held_out is False
 
 
+def test_toxicity_scores_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = toxicity.SubwordModel(rng.normal(size=toxicity.BUCKETS), -0.3)
+    texts = ["Plain WORDS here", None, "", " \t ", "ÀÉ ß\u3000日本語 a", "x", "\u00a0edge\u2028case ", "İstanbul Σίσυφος", "word " * 300, "y" * 500]
+    want = [brute_score(model.weights, model.bias, t) for t in texts]
+    assert model.scores(texts) == pytest.approx(want)
+    monkeypatch.setattr(toxicity, "PIECE", 20)
+    assert model.scores(texts) == pytest.approx(want)
+    at, share = toxicity.bag(texts[8])
+    assert 1 / (1 + np.exp(-(model.bias + share @ model.weights[at]))) == pytest.approx(want[8])
+
+
+def test_training_rows_are_bounded(spark):
+    docs = frame(spark, [(i % 40, f"text {i}", "s") for i in range(400)])
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, known, {0: 7, 1: 200}).collect()
+    assert sum(r.toxic == 0 for r in got) == 7 and sum(r.toxic == 1 for r in got) == 200
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -1,9 +1,9 @@
 import random
 
 import corpus_pipeline
-from helpers import DOCS, SF
+from helpers import DOCS, SF, brute_contamination, brute_score, near_brute, words
 
-from loam.llm import decontaminate, near_duplicates, toxicity
+from loam.llm import mixing, toxicity
 
 
 def test_stages_in_order():
@@ -11,19 +11,27 @@ def test_stages_in_order():
 
 
 def test_run(spark):
-    """Each stage's rows against its operator's own judgement of its input."""
+    """The stages' rows against brute force of their own: a plain model for each stage, given the trained weights."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    clean = corpus_pipeline.drop_toxic(spark, docs, SF)
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    want = {r.doc_id for r in docs.collect() if model.score(r.text) < 0.5}
-    assert {r.doc_id for r in clean.collect()} == want and clean.columns == docs.columns
-    single = near_duplicates.keep_one_of_each(clean)
-    assert len({r.text for r in single.collect()}) == single.count()
-    left = corpus_pipeline.drop_contaminated(spark, single, SF)
-    bad = {r.doc_id for r in decontaminate.contaminated(single, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    assert {r.doc_id for r in left.collect()} == {r.doc_id for r in single.collect()} - bad
-    final = corpus_pipeline.run(spark, SF)
-    assert {r.doc_id for r in final.collect()} <= {r.doc_id for r in left.collect()} and final.count() > 0
+    rows = [r for r in rows if brute_score(model.weights, model.bias, r[1]) < 0.5]
+    first = {g[0] for g in near_brute([r[:2] for r in rows])}
+    rows = [r for r in rows if r[0] in first]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = {d for d, _ in brute_contamination([r[:2] for r in rows], items)}
+    rows = [r for r in rows if r[0] not in bad]
+    copies = {r.doc_id: r.copies for r in mixing.mixing_digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    final = corpus_pipeline.run(spark, SF).collect()
+    taken, size = {}, {}
+    for r in final:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
+        size[r.shard] = size.get(r.shard, 0) + r["size"]
+    assert taken == {d: n for d, n in copies.items() if n} and bad and len(first) < len(docs.collect())
+    text = {r[0]: r[1] for r in rows}
+    assert all(r["size"] == len(text[r.doc_id].encode()) + 8 for r in final) and sum(len(words(t)) for t in text.values())
+    assert len(size) == 24 and max(size.values()) <= 1.5 * sum(size.values()) / 24
+    assert all(sorted(r.slot for r in final if r.shard == s) == list(range(sum(r.shard == s for r in final))) for s in size)
 
 
 def test_edge_tables(spark):
