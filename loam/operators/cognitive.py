@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.arrays import budget_breaks, let
+from loam.functions.arrays import budget_breaks, let, running_sums, scan
 from loam.operators.enrichment import entity_overlap, heading_continuity, marker_strength, noun_phrase_overlap
 
 SOFT, HARD = 512, 768
@@ -155,8 +155,9 @@ def breaks(signals: DataFrame, rows: DataFrame, key: str = "doc_id", hard: int =
 
 def with_chunk_ids(rows: DataFrame, flags: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds ``chunk``: the number of breaks before the block."""
-    before = F.size(F.filter(F.slice("flags", F.lit(1), F.greatest(F.col("block_idx"), F.lit(0))), lambda f: f))
-    return rows.join(flags, key).withColumn("chunk", F.when(F.col("block_idx") > 0, before).otherwise(F.lit(0))).drop("flags")
+    before = running_sums(F.concat(F.transform("flags", lambda f: f.cast("int")), F.array(F.lit(0))))
+    ids = flags.select(key, F.posexplode(before).alias("block_idx", "chunk"))
+    return rows.join(ids, [key, "block_idx"])
 
 
 def dominant_entities(rows: DataFrame, key: str = "doc_id", chunk: str = "chunk", top: int = DOMINANT) -> DataFrame:
@@ -192,16 +193,14 @@ def heal(chunks: DataFrame, signals: DataFrame, key: str = "doc_id", hard: int =
     """Chunks joined from left to right with the next one where the boundary heals and both fit the budget."""
     glue = heal_flags(signals).select(key, F.col("boundary_idx").alias("last_block"), "heals")
     listed = chunks.join(glue, [key, "last_block"], "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk", "tokens", F.coalesce("heals", F.lit(False)).alias("heals")))).alias("c"))
-    zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("g"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("heals"))
+    state = {"g": F.lit(-1), "used": F.lit(0).cast("long"), "heals": F.lit(False)}
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
         joins = s["heals"] & (s["used"] + x["tokens"] <= hard)
-        return let(F.when(joins, s["g"]).otherwise(s["g"] + 1), lambda g: F.struct(
-            F.concat(s["out"], F.array(g)).alias("out"), g.alias("g"),
-            F.when(joins, s["used"] + x["tokens"]).otherwise(x["tokens"]).cast("long").alias("used"), x["heals"].alias("heals"),
-        ))
+        g = F.when(joins, s["g"]).otherwise(s["g"] + 1)
+        return {"g": g, "used": F.when(joins, s["used"] + x["tokens"]).otherwise(x["tokens"]).cast("long"), "heals": x["heals"]}, F.array(g)
 
-    groups = listed.select(key, F.posexplode(F.aggregate("c", zero, step, lambda s: s["out"])).alias("chunk", "healed"))
+    groups = listed.select(key, F.posexplode(scan(F.col("c"), "int", state, step)).alias("chunk", "healed"))
     first = lambda c: F.min_by(c, "chunk")
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("chunk", c))), lambda x: x[c])
     return chunks.join(groups, [key, "chunk"]).groupBy(key, F.col("healed").alias("idx")).agg(
@@ -236,6 +235,12 @@ def evaluation_rates(signals: DataFrame, flags: DataFrame, key: str = "doc_id")
     )
 
 
+def uncapped_single_blocks(chunks: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents of one block list all their entities as dominant, in the block's order and as often as it names them."""
+    one = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min_by("entities", "block_idx").alias("_e")).where("_n = 1").select(key, F.col("_e.normalized").alias("_all"))
+    return chunks.join(one, key, "left").withColumn("dominant", F.coalesce("_all", "dominant")).drop("_all")
+
+
 def cognitive_chunks(rows: DataFrame, key: str = "doc_id", soft: int = SOFT, hard: int = HARD, rerank: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, signals, flags) of enriched rows with ``sim``. ``rerank`` holds scores of ambiguous boundaries."""
     signals = score_boundaries(rows, key, soft)
@@ -244,4 +249,5 @@ def cognitive_chunks(rows: DataFrame, key: str = "doc_id", soft: int = SOFT, har
         signals = refine(signals, rerank.join(band, [key, "boundary_idx"], "left_semi"), key)
     flags = breaks(signals, rows, key, hard)
     made = build_chunks(with_chunk_ids(rows, flags, key), signals, key)
-    return with_links(heal(made, signals, key, hard), key), signals, flags
+    healed = uncapped_single_blocks(heal(made, signals, key, hard), rows, key)
+    return with_links(healed, key), signals, flags

@@ -159,7 +159,7 @@ def first_of_each(entities: Column) -> Column:
     return F.aggregate(
         entities, zero,
         lambda out, e: F.when(F.exists(out, lambda o: (o["normalized"] == e["normalized"]) & (o["type"] == e["type"])), out).otherwise(F.concat(out, F.array(e))),
-    )
+    )  # entities of one block: short lists
 
 
 def entities(text: Column, lang: Column, heading_terms: Column | None = None) -> Column:
@@ -281,4 +281,15 @@ def enrich(rows: DataFrame, key: str = "doc_id", terms: DataFrame | None = None)
 
 
 def known_language(lang: Column) -> Column:
-    return F.when(lang.isin(list(LANGUAGES)), lang).otherwise(F.lit("auto"))
+    """The language's code, or null where it is not known: then it has to be detected."""
+    low = F.lower(lang)
+    out = F.when(low.isin(list(LANGUAGES)), low)
+    for code, others in LANGUAGES.items():
+        out = out.when(low.isin(list(others)), F.lit(code))
+    return out
+
+
+def array_language(blocks: Column, sample: int = 5) -> Column:
+    """The language detected on the first ``sample`` blocks of an array that are no headings. No shuffle."""
+    plain = F.slice(F.filter(blocks, lambda b: b["kind"] != "Heading"), 1, sample)
+    return detect_language(F.array_join(F.transform(plain, lambda b: b["text"]), " "))

@@ -5,59 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loam.functions.text import block_tokens, word_tokens
+from loam import api
+from loam.functions.lexicons import DEMONSTRATIVES, PRONOUNS
+from loam.functions.text import word_tokens
 from loam.operators import adaptive, cognitive, enriched, enrichment, graph, intent, metrics, segmentation, topology
 from loam.plans.core import MERGE_CTE, docs, merge_tokens
 from loam.plans.signal import turn_vectors
-from loam.plans.text import DEMONSTRATIVE_SQL, MARKDOWN_CTE, MARKED_CTE, MARKER_SQL, PRONOUN_SQL, line_blocks, markdown_docs, marked_lines
+from loam.plans.text import DEMONSTRATIVE_SQL, FIRST_SQL, MARKDOWN_CTE, MARKER_OF, MARKER_SQL, PRONOUN_SQL, TRIMMED, TYPED_CTE, markdown_docs, quoted, typed_lines, words_cte
 from loam.providers.local import hash_embedding, word_overlap_score
+from loam.sources.scratch import written
 
 SOFT, HARD = 300, 350
 
 
 def scored_rows(spark, sf_dir):
-    """Lines of English documents with the columns that scoring asks for; entities are capitalised words."""
+    """Typed lines of all documents, enriched as the method does it; the similarity is the share of common words. Written
+    once, as every query reads them several times."""
+    rows = typed_lines(spark, sf_dir)
+    enriched_rows = enrichment.enrich(rows, terms=enrichment.heading_terms(rows))
     w = Window.partitionBy("doc_id").orderBy("block_idx")
-    rows = marked_lines(spark, sf_dir).where("lang = 'en'")
-    caps = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1)), F.lower))
-    named = F.transform(caps, lambda c: F.struct(c.alias("surface"), c.alias("normalized"), F.lit("Named").alias("type")))
-    return (
-        rows.withColumn("entities", named)
-        .withColumn("noun_phrases", F.regexp_extract_all("text", F.lit("([A-Z][a-z]+ [A-Z][a-z]+)"), F.lit(1)))
-        .withColumn("marker", enrichment.discourse_marker(F.col("text"), F.col("lang")))
-        .withColumn("pronoun", enrichment.starts_with_pronoun(F.col("text"), F.col("lang")))
-        .withColumn("demonstrative", enrichment.starts_with_demonstrative(F.col("text"), F.col("lang")))
-        .withColumn("heading_path", F.array().cast("array<string>"))
-        .withColumn("tokens", block_tokens(F.col("text")))
-        .withColumn("sim", word_overlap_score(F.col("text"), F.lead("text").over(w)))
-    )
-
-
-ROWS_CTE = MARKED_CTE + rf""",
-rws AS (
-  SELECT doc_id, block_idx, text, list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]+'), lambda c: lower(c))) AS ents,
-    list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+'), lambda c: lower(c))) AS nps,
+    return written(enriched_rows.withColumn("sim", word_overlap_score(F.col("text"), F.lead("text").over(w))), "scored-rows")
+
+
+_NOUNS = ", ".join(f"""{TRIMMED.format(f"regexp_extract(lower(text), '^{quoted(d)} " + chr(92) + "s*(" + chr(92) + "S+)', 1)")}""" for d in DEMONSTRATIVES["en"])
+_PRONOUNS = ", ".join(f"'{p}'" for p in PRONOUNS["en"].split())
+_AFFINITY = "CASE " + " ".join(f"WHEN kind = '{x}' AND r.kind = '{y}' THEN {v}" for (x, y), v in cognitive.AFFINITY.items()) + " ELSE 0 END::DOUBLE"
+ROWS_CTE = TYPED_CTE + "," + words_cte("typed") + rf""",
+terms AS (
+  SELECT doc_id, list(DISTINCT t) AS terms FROM (
+    SELECT doc_id, unnest(list_append(list_filter(list_transform(regexp_extract_all(lower(title), '\S+'), lambda x: {TRIMMED.format("x")}), lambda x: strlen(x) >= 3), lower(title))) AS t FROM titled WHERE lvl IS NOT NULL
+  ) WHERE t <> '' GROUP BY doc_id
+), named AS (
+  SELECT doc_id, block_idx, lower(span) AS e, 'Named' AS type FROM spans
+  UNION SELECT t.doc_id, block_idx, unnest(list_filter(terms, lambda x: contains(lower(text), x))), 'Named' FROM titled t JOIN terms m ON t.doc_id = m.doc_id
+  UNION SELECT doc_id, block_idx, unnest(list_filter([{_NOUNS}], lambda x: strlen(x) >= 2)), 'Demonstrative' FROM titled
+  UNION SELECT doc_id, block_idx, {FIRST_SQL}, 'Pronoun' FROM titled WHERE {FIRST_SQL} IN ({_PRONOUNS})
+), en AS (
+  SELECT doc_id, block_idx, list(DISTINCT e) AS ents, list(e) AS mentions FROM named GROUP BY doc_id, block_idx
+), np AS (
+  SELECT doc_id, block_idx, list(DISTINCT lower(phrase)) AS nps FROM phrases GROUP BY doc_id, block_idx
+), heads AS (
+  SELECT doc_id, block_idx, {", ".join(f"max(CASE WHEN lvl = {k} THEN block_idx END) OVER w AS i{k}, last_value(CASE WHEN lvl = {k} THEN title END IGNORE NULLS) OVER w AS t{k}" for k in (1, 2, 3))}
+  FROM titled WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), rws AS (
+  SELECT t.doc_id, t.block_idx, t.kind, t.text, coalesce(ents, []) AS ents, coalesce(mentions, []) AS mentions, coalesce(nps, []) AS nps,
     list_distinct(regexp_extract_all(lower(text), '\S+')) AS ws, ceil(strlen(text) / 4.0)::INT AS tokens,
-    {MARKER_SQL} AS marker, {PRONOUN_SQL} AS pronoun, {DEMONSTRATIVE_SQL} AS demonstrative
-  FROM lowered WHERE lang = 'en'
+    list_filter([CASE WHEN i1 IS NOT NULL THEN t1 END, CASE WHEN i2 > coalesce(i1, -1) THEN t2 END, CASE WHEN i3 > greatest(coalesce(i1, -1), coalesce(i2, -1)) THEN t3 END], lambda x: x IS NOT NULL) AS path,
+    {MARKER_SQL} AS marker, {MARKER_OF["en"]} AS marker_en, {PRONOUN_SQL} AS pronoun, {DEMONSTRATIVE_SQL} AS demonstrative
+  FROM titled t JOIN heads h ON t.doc_id = h.doc_id AND t.block_idx = h.block_idx LEFT JOIN en ON t.doc_id = en.doc_id AND t.block_idx = en.block_idx LEFT JOIN np ON t.doc_id = np.doc_id AND t.block_idx = np.block_idx
 ), nxt AS (
-  SELECT *, lead({{'ents': ents, 'nps': nps, 'ws': ws, 'marker': marker, 'pronoun': pronoun, 'dem': demonstrative}}) OVER w AS r,
+  SELECT *, lead({{'kind': kind, 'ents': ents, 'nps': nps, 'ws': ws, 'path': path, 'marker': marker, 'pronoun': pronoun, 'dem': demonstrative}}) OVER w AS r,
     sum(tokens) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) AS so_far
   FROM rws WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)
-), terms AS (
-  SELECT doc_id, block_idx AS boundary_idx, so_far, r.marker AS marker, r.pronoun AS pronoun, r.dem AS demonstrative,
+), bounds AS (
+  SELECT doc_id, block_idx AS boundary_idx, so_far, kind, r.kind AS right_kind, r.marker AS marker, r.pronoun AS pronoun, r.dem AS demonstrative,
     CASE WHEN len(list_distinct(ents || r.ents)) > 0 THEN len(list_intersect(ents, r.ents))::DOUBLE / len(list_distinct(ents || r.ents)) ELSE 0 END AS ov,
     CASE WHEN len(list_distinct(nps || r.nps)) > 0 THEN len(list_intersect(nps, r.nps))::DOUBLE / len(list_distinct(nps || r.nps)) ELSE 0 END AS npov,
     CASE WHEN len(list_distinct(ws || r.ws)) > 0 THEN len(list_intersect(ws, r.ws))::DOUBLE / len(list_distinct(ws || r.ws)) ELSE 0 END AS sim,
     CASE r.marker WHEN 'Continuation' THEN 0.9 WHEN 'Elaboration' THEN 0.85 WHEN 'Exemplification' THEN 0.8 WHEN 'Causation' THEN 0.7 WHEN 'Contrast' THEN 0.4 WHEN 'Conclusion' THEN 0.2 ELSE 0 END::DOUBLE AS discourse,
+    CASE WHEN greatest(len(path), len(r.path)) = 0 THEN 1 WHEN NOT coalesce(path[1] = r.path[1], false) THEN 0 WHEN NOT coalesce(path[2] = r.path[2], false) THEN 1 WHEN NOT coalesce(path[3] = r.path[3], false) THEN 2 ELSE 3 END::DOUBLE
+      / greatest(len(path), len(r.path), 1) AS heading,
+    {_AFFINITY} AS struct, kind = 'Heading' AND r.kind <> 'Heading' AS after_heading,
     least(greatest(so_far / {float(SOFT)}::DOUBLE - 0.5, 0), 1)::DOUBLE AS budget
   FROM nxt WHERE r IS NOT NULL
 ), sig AS (
   SELECT *, (ov + npov) / 2 AS entity, 1 - sim AS shift,
-    least(1.0::DOUBLE, CASE WHEN pronoun THEN 0.8 ELSE 0 END::DOUBLE + CASE WHEN demonstrative THEN 0.6 ELSE 0 END::DOUBLE + CASE WHEN marker IS NOT NULL THEN 0.4 ELSE 0 END::DOUBLE + CASE WHEN ov > 0.3 THEN ov * 0.3::DOUBLE ELSE 0 END) AS orphan
-  FROM terms
+    least(1.0::DOUBLE, CASE WHEN pronoun THEN 0.8 ELSE 0 END::DOUBLE + CASE WHEN demonstrative THEN 0.6 ELSE 0 END::DOUBLE + CASE WHEN marker IS NOT NULL THEN 0.4 ELSE 0 END::DOUBLE
+      + CASE WHEN after_heading THEN 0.9 ELSE 0 END::DOUBLE + CASE WHEN ov > 0.3 THEN ov * 0.3::DOUBLE ELSE 0 END) AS orphan
+  FROM bounds
 ), scored AS (
-  SELECT *, 0.3::DOUBLE * sim + 0.2::DOUBLE * entity + 0.1::DOUBLE * discourse + 0.1::DOUBLE * 1 + 0.2::DOUBLE * orphan - 0.15::DOUBLE * shift - 0.1::DOUBLE * budget AS join_score FROM sig
+  SELECT *, 0.3::DOUBLE * sim + 0.2::DOUBLE * entity + 0.1::DOUBLE * discourse + 0.1::DOUBLE * heading + 0.05::DOUBLE * struct + 0.2::DOUBLE * orphan - 0.15::DOUBLE * shift - 0.1::DOUBLE * budget AS join_score FROM sig
 ), vall AS (
   SELECT *, stddev_pop(join_score) OVER d >= 0.01 AND join_score < avg(join_score) OVER d - 0.5::DOUBLE * stddev_pop(join_score) OVER d
     AND join_score <= coalesce(lag(join_score) OVER o, join_score) AND join_score <= coalesce(lead(join_score) OVER o, join_score) AS is_valley
@@ -75,12 +92,15 @@ walk AS (
 """
 
 
+TERMS = ("sim", "entity", "discourse", "heading", "struct", "shift", "orphan", "budget", "join_score")
+
+
 def boundary_scores(spark, sf_dir):
     s = cognitive.score_boundaries(scored_rows(spark, sf_dir), soft=SOFT)
-    return s.select("doc_id", "boundary_idx", *[F.round(c, 6).alias(c) for c in ("sim", "entity", "discourse", "shift", "orphan", "budget", "join_score")])
+    return s.select("doc_id", "boundary_idx", *[F.round(c, 6).alias(c) for c in TERMS])
 
 
-SCORES_SQL = "WITH " + ROWS_CTE + "SELECT doc_id, boundary_idx, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("sim", "entity", "discourse", "shift", "orphan", "budget", "join_score")) + " FROM scored"
+SCORES_SQL = "WITH " + ROWS_CTE + "SELECT doc_id, boundary_idx, " + ", ".join(f"round({c}, 6) AS {c}" for c in TERMS) + " FROM scored"
 
 
 def boundary_reasons(spark, sf_dir):
@@ -89,10 +109,10 @@ def boundary_reasons(spark, sf_dir):
     return s.select("doc_id", "boundary_idx", F.explode(typed).alias("r")).groupBy("doc_id", F.col("r.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-REASONS_SQL = "WITH " + ROWS_CTE + """, named AS (
+REASONS_SQL = "WITH " + ROWS_CTE + """, told AS (
   SELECT doc_id, list_filter([CASE WHEN orphan > 0.5 THEN 'ContinuationGlue' END, CASE WHEN discourse > 0.7 THEN 'DiscourseBreak' END, CASE WHEN entity > 0.5 THEN 'EntityDiscontinuity' END,
-    CASE WHEN shift > 0.6 THEN 'TopicShift' END, CASE WHEN budget > 0.5 THEN 'BudgetCeiling' END], lambda x: x IS NOT NULL) AS rs FROM scored
-), each AS (SELECT doc_id, unnest(CASE WHEN len(rs) = 0 THEN ['TopicShift'] ELSE rs END) AS type FROM named)
+    CASE WHEN heading < 0.5 THEN 'HeadingChange' END, CASE WHEN shift > 0.6 THEN 'TopicShift' END, CASE WHEN budget > 0.5 THEN 'BudgetCeiling' END], lambda x: x IS NOT NULL) AS rs FROM scored
+), each AS (SELECT doc_id, unnest(CASE WHEN len(rs) = 0 THEN ['TopicShift'] ELSE rs END) AS type FROM told)
 SELECT doc_id, type, count(*) AS n FROM each GROUP BY doc_id, type
 """
 
@@ -146,19 +166,24 @@ def assembled_chunks(spark, sf_dir):
 
 
 ASSEMBLED_SQL = BREAKS_CTE + """, mem AS (SELECT r.*, i.chunk, max(r.block_idx) OVER (PARTITION BY r.doc_id, i.chunk) AS last FROM rws r JOIN ids i ON r.doc_id = i.doc_id AND r.block_idx = i.block_idx),
-en AS (SELECT doc_id, chunk, string_agg(DISTINCT e, ',' ORDER BY e) AS entities FROM (SELECT doc_id, chunk, unnest(ents) AS e FROM mem) GROUP BY doc_id, chunk)
+ce AS (SELECT doc_id, chunk, string_agg(DISTINCT e, ',' ORDER BY e) AS entities FROM (SELECT doc_id, chunk, unnest(ents) AS e FROM mem) GROUP BY doc_id, chunk)
 SELECT m.doc_id, m.chunk, string_agg(text, '' ORDER BY m.block_idx) AS text, sum(tokens)::BIGINT AS tokens, round(coalesce(avg(CASE WHEN m.block_idx < m.last THEN s.join_score END), 1), 6) AS confidence,
-  min(m.block_idx) AS first_block, max(m.block_idx) AS last_block, coalesce(any_value(en.entities), '') AS entities
-FROM mem m LEFT JOIN scored s ON m.doc_id = s.doc_id AND m.block_idx = s.boundary_idx LEFT JOIN en ON m.doc_id = en.doc_id AND m.chunk = en.chunk GROUP BY m.doc_id, m.chunk
+  min(m.block_idx) AS first_block, max(m.block_idx) AS last_block, coalesce(any_value(ce.entities), '') AS entities
+FROM mem m LEFT JOIN scored s ON m.doc_id = s.doc_id AND m.block_idx = s.boundary_idx LEFT JOIN ce ON m.doc_id = ce.doc_id AND m.chunk = ce.chunk GROUP BY m.doc_id, m.chunk
 """
 
 
+def _healed_rows(rows):
+    """Chunks that several parts of a query read, written once."""
+    return written(cognitive.cognitive_chunks(rows, soft=SOFT, hard=HARD)[0], "cognitive-chunks")
+
+
 def _healed(spark, sf_dir):
-    return cognitive.cognitive_chunks(scored_rows(spark, sf_dir), soft=SOFT, hard=HARD)
+    return _healed_rows(scored_rows(spark, sf_dir))
 
 
 def cognitive_chunks(spark, sf_dir):
-    chunks, _, _ = _healed(spark, sf_dir)
+    chunks, _, _ = cognitive.cognitive_chunks(scored_rows(spark, sf_dir), soft=SOFT, hard=HARD)
     return chunks.select("doc_id", "idx", "text", "tokens", "first_block", "last_block", "prev_idx", "next_idx")
 
 
@@ -191,13 +216,12 @@ HEALED_SQL = "WITH RECURSIVE " + ROWS_CTE + ", ids AS (SELECT doc_id, block_idx,
 
 
 def shared_entities(spark, sf_dir):
-    chunks, _, _ = _healed(spark, sf_dir)
+    chunks = _healed(spark, sf_dir)
     return cognitive.shared_entities(chunks).select("doc_id", "entity", F.array_join(F.col("chunks").cast("array<string>"), ",").alias("chunks"))
 
 
 def graph_edges(spark, sf_dir):
-    chunks, _, _ = _healed(spark, sf_dir)
-    return graph.edges(chunks)
+    return graph.edges(_healed(spark, sf_dir))
 
 
 EDGES_SQL = HEAL_CTE + """SELECT doc_id, idx AS source, nxt AS target, 'adjacency' AS type, NULL::VARCHAR AS entity FROM (SELECT doc_id, idx, lead(idx) OVER (PARTITION BY doc_id ORDER BY idx) AS nxt FROM chunks) WHERE nxt IS NOT NULL
@@ -206,8 +230,8 @@ UNION ALL SELECT doc_id, chunks[k] AS source, chunks[k + 1] AS target, 'entity_l
 
 
 def graph_metadata(spark, sf_dir):
-    chunks, _, _ = _healed(spark, sf_dir)
-    return graph.metadata(chunks, scored_rows(spark, sf_dir))
+    rows = scored_rows(spark, sf_dir)
+    return graph.metadata(_healed_rows(rows), rows)
 
 
 METADATA_SQL = HEAL_CTE + """SELECT c.doc_id, n AS chunk_count, (SELECT count(*) FROM rws r WHERE r.doc_id = c.doc_id) AS block_count,
@@ -224,7 +248,7 @@ def evaluation_rates(spark, sf_dir):
 
 RATES_SQL = BREAKS_CTE + """, b AS (SELECT s.*, i.brk FROM scored s JOIN ids i ON s.doc_id = i.doc_id AND i.block_idx = s.boundary_idx + 1)
 SELECT doc_id, round(coalesce(avg((entity > 0.2)::INT) FILTER (brk), 0), 6) AS entity_orphan_rate, round(coalesce(avg((pronoun OR demonstrative)::INT) FILTER (brk), 0), 6) AS pronoun_boundary_rate,
-  1.0::DOUBLE AS heading_attachment_rate, round(coalesce(avg((marker IS NOT NULL)::INT) FILTER (brk), 0), 6) AS discourse_break_rate, 0.0::DOUBLE AS triple_severance_rate,
+  round(coalesce(avg((NOT brk)::INT) FILTER (after_heading), 1), 6) AS heading_attachment_rate, round(coalesce(avg((marker IS NOT NULL)::INT) FILTER (brk), 0), 6) AS discourse_break_rate, 0.0::DOUBLE AS triple_severance_rate,
   count(*) FILTER (brk) AS n_breaks, count(*) AS n_boundaries FROM b GROUP BY doc_id
 """
 
@@ -234,7 +258,7 @@ def dominant_entities(spark, sf_dir):
     return cognitive.dominant_entities(rows).select("doc_id", "chunk", F.array_join("dominant", ",").alias("dominant"))
 
 
-DOMINANT_SQL = "WITH " + ROWS_CTE + """, c AS (SELECT doc_id, block_idx // 4 AS chunk, unnest(ents) AS e FROM rws), n AS (SELECT doc_id, chunk, e, count(*) AS n FROM c GROUP BY ALL),
+DOMINANT_SQL = "WITH " + ROWS_CTE + """, c AS (SELECT doc_id, block_idx // 4 AS chunk, unnest(mentions) AS e FROM rws), n AS (SELECT doc_id, chunk, e, count(*) AS n FROM c GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY n DESC, e) AS k FROM n)
 SELECT doc_id, chunk::INT AS chunk, string_agg(e, ',' ORDER BY k) AS dominant FROM k WHERE k <= 5 GROUP BY doc_id, chunk
 """
@@ -338,16 +362,32 @@ SELECT doc_id, round((ti + li) / 2.0, 6)::DOUBLE AS bi FROM x
 
 
 def evaluated(spark, sf_dir):
-    """All five measures of conversation turns as chunks of their conversation."""
+    """All five measures of markdown documents cut every 40 words, with their real blocks; lines stand for sentences."""
     from loam.operators.splitting import segments, split_spans
 
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text", F.lit(0).alias("offset_start"), F.octet_length("text").alias("offset_end"))
-    parts = segments(turns, split_spans(F.col("text"), "\n"), "doc_id", F.col("idx").alias("t")).select("doc_id", F.col("t").alias("idx"), hash_embedding(F.col("text")).alias("embedding"))
-    blocks = turns.limit(0).select("doc_id", "offset_start", "offset_end", F.lit("Table").alias("kind"))
-    m = metrics.evaluate_chunks(turns.withColumn("embedding", hash_embedding(F.col("text"))), parts, blocks, "doc_id", soft=40, hard=100)
+    chunks = written(_md_chunks(spark, sf_dir).withColumn("embedding", hash_embedding(F.col("text"))), "evaluated-chunks")
+    parts = segments(chunks.withColumnRenamed("idx", "c"), split_spans(F.col("text"), "\n"), "doc_id", "c").select("doc_id", F.col("c").alias("idx"), hash_embedding(F.col("text")).alias("embedding"))
+    m = metrics.evaluate_chunks(chunks, parts, segmentation.blocks(markdown_docs(spark, sf_dir)), "doc_id", soft=40, hard=100)
     return m.select("doc_id", *[F.round(c, 6).alias(c) for c in (*metrics.NAMES, "composite")], "chunk_count")
 
 
+_COSINE = "CASE WHEN list_dot_product({0}, {0}) * list_dot_product({1}, {1}) = 0 THEN 0 ELSE list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1}))) END"
+_VECTOR = r"list_transform(range(0, 64), lambda b: len(list_filter(list_transform(regexp_extract_all({0}, '\S+'), lambda w: ('0x' || md5(w)[1:8])::BIGINT % 64), lambda x: x = b)))::DOUBLE[]"
+EVALUATED_SQL = INTEGRITY_SQL.split("SELECT doc_id, round((ti + li)")[0] + rf""", bi AS (SELECT doc_id, (ti + li) / 2.0 AS bi FROM x),
+ck AS (SELECT doc_id, g, string_agg(ps[i], '' ORDER BY i) AS text FROM fold GROUP BY doc_id, g),
+cv AS (SELECT *, {_VECTOR.format("text")} AS v, len(regexp_extract_all(text, '\S+')) AS n FROM ck),
+nb AS (SELECT *, lead(v) OVER (PARTITION BY doc_id ORDER BY g) AS w FROM cv),
+ln AS (SELECT doc_id, g, v, unnest(regexp_extract_all(text, '[^\n]*[\n]|[^\n]+')) AS line FROM cv),
+lv AS (SELECT doc_id, g, v, {_VECTOR.format("line")} AS s FROM ln),
+lc AS (SELECT doc_id, g, count(*) AS n, avg({_COSINE.format("v", "s")}) AS c FROM lv GROUP BY doc_id, g),
+icc AS (SELECT doc_id, avg(CASE WHEN n < 2 THEN 1 ELSE c END) AS icc FROM lc GROUP BY doc_id),
+m AS (SELECT doc_id, avg((n BETWEEN 20 AND 100)::INT) AS sc, coalesce(avg(CASE WHEN w IS NULL THEN NULL ELSE {_COSINE.format("v", "w")} END), 1) AS dcc,
+  1 - coalesce(avg(CASE WHEN g > 0 THEN {ORPHAN_SQL}::INT END), 0) AS rc, count(*) AS chunk_count FROM nb GROUP BY doc_id)
+SELECT m.doc_id, round(sc, 6) AS sc, round(icc, 6) AS icc, round(dcc, 6) AS dcc, round(bi, 6)::DOUBLE AS bi, round(rc, 6) AS rc, round(0.2::DOUBLE * sc + 0.2::DOUBLE * icc + 0.2::DOUBLE * dcc + 0.2::DOUBLE * bi + 0.2::DOUBLE * rc, 6) AS composite, chunk_count
+FROM m JOIN icc ON m.doc_id = icc.doc_id JOIN bi ON m.doc_id = bi.doc_id
+"""
+
+
 # Intent
 
 
@@ -369,6 +409,37 @@ FROM vec v JOIN k ON v.conv_id = k.conv_id AND k.k <= 2 GROUP BY v.conv_id, v.tu
 """
 
 
+PARTITION_CTE = "WITH RECURSIVE " + VECTORS_CTE + rf""",
+ivec AS (SELECT * FROM (SELECT conv_id, v AS q, row_number() OVER (PARTITION BY conv_id ORDER BY strlen(text) DESC, turn) - 1 AS k FROM vec WHERE strlen(text) >= 20) WHERE k < 2),
+seq AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, v, len(regexp_extract_all(text, '\S+')) AS t FROM vec),
+cs AS (SELECT x.conv_id, x.i - 1 AS a, y.i AS b, sum(m.t)::BIGINT AS used, list(m.v) AS vs FROM seq x JOIN seq y ON x.conv_id = y.conv_id AND y.i >= x.i JOIN seq m ON x.conv_id = m.conv_id AND m.i BETWEEN x.i AND y.i GROUP BY x.conv_id, x.i, y.i),
+cv AS (SELECT conv_id, a, b, used, list_transform(range(1, 65), lambda k: list_sum(list_transform(vs, lambda z: z[k]))) AS c FROM cs),
+al AS (SELECT cv.conv_id, a, b, used, k, greatest(0, {_COSINE.format("c", "q")}) AS cos FROM cv JOIN ivec ON cv.conv_id = ivec.conv_id),
+sc AS (SELECT conv_id, a, b, max(cos) - abs(used / 120.0::DOUBLE - 1.0::DOUBLE) * 0.1::DOUBLE AS s FROM al WHERE used <= 240 OR b = a + 1 GROUP BY conv_id, a, b, used),
+by_end AS (SELECT conv_id, b, list(s ORDER BY a) AS ss, list(a ORDER BY a) AS aa FROM sc GROUP BY conv_id, b),
+ends AS (SELECT conv_id, list(ss ORDER BY b) AS ss, list(aa ORDER BY b) AS aa, max(b) AS n FROM by_end GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, ss, aa, n, 0 AS i, [0.0::DOUBLE] AS best, [0::BIGINT] AS back FROM ends
+  UNION ALL
+  SELECT conv_id, ss, aa, n, i + 1, list_append(best, list_max(cand)), list_append(back, starts[len(cand) + 1 - list_position(list_reverse(cand), list_max(cand))]) FROM (
+    SELECT *, aa[i + 1] AS starts, list_transform(ss[i + 1], lambda s, k: best[aa[i + 1][k] + 1] + s) AS cand FROM dp WHERE i < n
+  )
+), walk AS (
+  SELECT conv_id, back, best[n + 1] AS total, n::BIGINT AS e, back[n + 1] AS s FROM dp WHERE i = n
+  UNION ALL
+  SELECT conv_id, back, total, s, back[s + 1] FROM walk WHERE s > 0
+), parts AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY s) - 1 AS idx, s, e, total / count(*) OVER (PARTITION BY conv_id) AS score FROM walk
+  UNION ALL SELECT conv_id, 0, 0, max(i), 0.0 FROM seq WHERE conv_id NOT IN (SELECT conv_id FROM ivec) GROUP BY conv_id
+)
+"""
+PARTITION_SQL = PARTITION_CTE + 'SELECT conv_id, idx::INT AS idx, s::INT AS "start", e::INT AS "end", round(score, 6) AS score FROM parts'
+INTENT_SQL = PARTITION_CTE + """, hit AS (SELECT conv_id, a, b, arg_max(k, (cos, -k)) AS k, max(cos) AS cos FROM al GROUP BY conv_id, a, b)
+SELECT p.conv_id, p.idx::INT AS idx, used AS tokens, k::INT AS intent_idx, round(cos, 6) AS alignment, round(score, 6) AS partition_score
+FROM parts p JOIN cs ON p.conv_id = cs.conv_id AND p.s = cs.a AND p.e = cs.b LEFT JOIN hit h ON p.conv_id = h.conv_id AND p.s = h.a AND p.e = h.b
+"""
+
+
 def intent_partition(spark, sf_dir):
     rows, intents = _intent_input(spark, sf_dir)
     return intent.partition(rows, intents, "conv_id", soft=120, hard=240).withColumn("score", F.round("score", 6))
@@ -430,6 +501,18 @@ def topology_chunks(spark, sf_dir):
     return c.select("doc_id", "part", "text", "tokens", F.array_join("heading_path", " > ").alias("path"), "section_classification")
 
 
+TOPOLOGY_SQL = f"""WITH RECURSIVE {MARKDOWN_CTE}, z AS (SELECT doc_id, b.i::INT AS i, b.text AS text, strlen(b.text) AS l, ceil(strlen(b.text) / 4.0)::INT AS t, r_name, n_name FROM blocks),
+node AS (SELECT a.doc_id, a.i, ceil(sum(b.l) / 4.0) AS t FROM z a JOIN z b ON a.doc_id = b.doc_id AND (b.i = a.i OR a.i < 2 AND b.i > a.i) GROUP BY a.doc_id, a.i),
+w AS (
+  SELECT doc_id, i, 0 AS g, t AS used FROM z WHERE i = 0
+  UNION ALL SELECT w.doc_id, z.i, CASE WHEN w.used + z.t <= 150 THEN g ELSE g + 1 END, CASE WHEN w.used + z.t <= 150 THEN w.used + z.t ELSE z.t END FROM w JOIN z ON w.doc_id = z.doc_id AND z.i = w.i + 1
+), c AS (SELECT w.doc_id, g, string_agg(z.text, '' ORDER BY z.i) AS text, min(z.i) AS first FROM w JOIN z ON w.doc_id = z.doc_id AND w.i = z.i GROUP BY w.doc_id, g)
+SELECT c.doc_id, g::INT AS part, c.text, ceil(strlen(c.text) / 4.0)::INT AS tokens, CASE WHEN first = 0 THEN r_name ELSE r_name || ' > ' || n_name END AS path,
+  CASE WHEN n.t > 150 THEN 'splittable' WHEN n.t * 4 < 100 THEN 'merged' ELSE 'atomic' END AS section_classification
+FROM c JOIN node n ON c.doc_id = n.doc_id AND c.first = n.i JOIN z ON c.doc_id = z.doc_id AND c.first = z.i
+"""
+
+
 # Enriched
 
 
@@ -480,7 +563,8 @@ w AS (
     i + 1, CASE WHEN good THEN list_append(gone, x.b) ELSE gone END, CASE WHEN good THEN list_append(into_, x.a) ELSE into_ END, good
   FROM (SELECT *, NOT list_contains(gone, x.a) AND NOT list_contains(gone, x.b) AND NOT list_contains(into_, x.b) AND t[x.a] + t[x.b] <= 400 AS good FROM (SELECT *, p[i + 1] AS x FROM w WHERE i < len(p)))
 )
-SELECT doc_id, p[i].a AS result, p[i].b AS source, p[i].k AS shared_key FROM w WHERE ok
+, fin AS (SELECT doc_id, arg_max(gone, i) AS g FROM w GROUP BY doc_id)
+SELECT w.doc_id, (p[i].a - len(list_filter(g, lambda b: b < p[i].a)))::INT AS result, p[i].b AS source, p[i].k AS shared_key FROM w JOIN fin ON w.doc_id = fin.doc_id WHERE ok
 """
 
 
@@ -494,16 +578,15 @@ def enriched_chunks(spark, sf_dir):
 
 
 def prescreen(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return adaptive.pre_screen(d, line_blocks(spark, sf_dir)).select("doc_id", "method", "included", "reason")
+    return adaptive.pre_screen(docs(spark, sf_dir), typed_lines(spark, sf_dir)).select("doc_id", "method", "included", "reason")
 
 
-PRESCREEN_SQL = r"""
-WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS w FROM documents)
+PRESCREEN_SQL = "WITH " + TYPED_CTE + r""", seen AS (SELECT doc_id, count(DISTINCT lvl) AS levels, bool_or(kind <> 'Sentence') AS structured FROM typed GROUP BY doc_id),
+n AS (SELECT d.doc_id, len(regexp_extract_all(text, '\S+')) AS w, coalesce(levels, 0) AS l, coalesce(structured, false) AS s FROM documents d LEFT JOIN seen ON d.doc_id = seen.doc_id)
 SELECT doc_id, 'semantic' AS method, true AS included, 'always included' AS reason FROM n UNION ALL SELECT doc_id, 'cognitive', true, 'always included' FROM n
-UNION ALL SELECT doc_id, 'topo', false, 'skipped: document has 0 heading level(s), topo needs >= 2' FROM n
+UNION ALL SELECT doc_id, 'topo', l >= 2, CASE WHEN l >= 2 THEN l || ' heading levels detected' ELSE 'skipped: document has ' || l || ' heading level(s), topo needs >= 2' END FROM n
 UNION ALL SELECT doc_id, 'intent', w >= 500, CASE WHEN w >= 500 THEN w || ' tokens, sufficient for intent' ELSE 'skipped: document has ' || w || ' tokens, intent needs >= 500' END FROM n
-UNION ALL SELECT doc_id, 'enriched', w >= 1000, CASE WHEN w >= 1000 THEN 'document has structure or sufficient length' ELSE 'skipped: no markdown structure and ' || w || ' < 1000 tokens' END FROM n
+UNION ALL SELECT doc_id, 'enriched', s OR w >= 1000, CASE WHEN s OR w >= 1000 THEN 'document has structure or sufficient length' ELSE 'skipped: no markdown structure and ' || w || ' < 1000 tokens' END FROM n
 """
 
 
@@ -513,14 +596,22 @@ def _candidate_scores(spark, sf_dir):
     from loam.operators.splitting import split_spans
 
     out = None
+    split = written(docs(spark, sf_dir).select("doc_id", split_spans(F.col("text")).alias("spans")), "split-once")
     for i, words in enumerate((32, 64, 128)):
-        chunks = merge(docs(spark, sf_dir), split_spans(F.col("text")), words)
+        chunks = merge(split, F.col("spans"), words)
         m = metrics.size_compliance(chunks, "doc_id", soft=64, hard=64).join(metrics.reference_completeness(chunks, "doc_id"), "doc_id").join(chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count")), "doc_id")
         part = m.select("doc_id", F.lit(f"merge{words}").alias("method"), F.lit(i).alias("ord"), F.round(F.col("sc") * 0.5 + F.col("rc") * 0.5, 6).alias("composite"), "chunk_count")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def best_chunks(spark, sf_dir):
+    """The adaptive method from end to end on markdown documents, all five candidates."""
+    chunks, report = api.best_chunks(markdown_docs(spark, sf_dir), adaptive.METHODS)
+    won = report.where("won").select("doc_id", F.col("chunk_count").alias("candidate_chunks"))
+    return chunks.join(won, "doc_id").select("doc_id", "method", "idx", "candidate_chunks", F.octet_length("text").alias("bytes"))
+
+
 def adaptive_winner(spark, sf_dir):
     return adaptive.winners(_candidate_scores(spark, sf_dir))
 
@@ -541,7 +632,7 @@ QUERIES = {
         boundary_scores, boundary_reasons, valleys, rerank_band, rerank_refine, budget_breaks, assembled_chunks, cognitive_chunks, heal_chunks, shared_entities, graph_edges, graph_metadata,
         evaluation_rates, dominant_entities, signal_lines, full_cognitive, size_compliance, reference_completeness, contextual_coherence, intrachunk_cohesion, block_integrity, evaluated,
         best_intent, intent_partition, intent_chunks, section_tree, coref_edges, discourse_edges, cross_references, topology_chunks, initial_groups, key_dictionary, key_recombine,
-        enriched_chunks, prescreen, adaptive_winner,
+        enriched_chunks, prescreen, adaptive_winner, best_chunks,
     )
 }
 ORACLES = {
@@ -551,7 +642,7 @@ ORACLES = {
     "evaluation_rates": RATES_SQL, "dominant_entities": DOMINANT_SQL,
     "size_compliance": MERGE_CTE + r"SELECT doc_id, round(avg((len(regexp_extract_all(text, '\S+')) BETWEEN 40 AND 64)::INT), 6) AS sc FROM placed GROUP BY doc_id",
     "reference_completeness": MERGE_CTE + f"SELECT doc_id, round(1 - coalesce(avg(CASE WHEN idx > 0 THEN {ORPHAN_SQL}::INT END), 0), 6) AS rc FROM placed GROUP BY doc_id",
-    "contextual_coherence": DCC_SQL, "intrachunk_cohesion": ICC_SQL, "block_integrity": INTEGRITY_SQL, "best_intent": BEST_SQL, "section_tree": TREE_SQL, "coref_edges": COREF_SQL,
-    "discourse_edges": "WITH " + ROWS_CTE + "SELECT doc_id, (block_idx - 1)::INT AS source, block_idx AS target FROM rws WHERE block_idx > 0 AND marker IS NOT NULL",
+    "evaluated": EVALUATED_SQL, "intent_partition": PARTITION_SQL, "intent_chunks": INTENT_SQL, "topology_chunks": TOPOLOGY_SQL, "contextual_coherence": DCC_SQL, "intrachunk_cohesion": ICC_SQL, "block_integrity": INTEGRITY_SQL, "best_intent": BEST_SQL, "section_tree": TREE_SQL, "coref_edges": COREF_SQL,
+    "discourse_edges": "WITH " + ROWS_CTE + "SELECT doc_id, (block_idx - 1)::INT AS source, block_idx AS target FROM rws WHERE block_idx > 0 AND marker_en IS NOT NULL",
     "cross_references": REFS_SQL, "initial_groups": GROUPS_SQL, "key_dictionary": DICTIONARY_SQL, "key_recombine": RECOMBINE_SQL, "prescreen": PRESCREEN_SQL, "adaptive_winner": WINNER_SQL,
 }

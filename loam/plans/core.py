@@ -174,58 +174,57 @@ def size_limit(spark, sf_dir):
     )
 
 
-CHUNK_SQL = """
-WITH RECURSIVE src AS (SELECT doc_id, text, strlen(text) AS n FROM documents WHERE strlen(text) = length(text) AND n_chars > 0),
+def _chunk_sql(pieces, hit, wide, size, cut, keep="true"):
+    """Chunks by a walk over the byte places of all delimiters: ``h`` is the last one within reach, ``f`` the first beyond."""
+    return rf"""
+WITH RECURSIVE whole AS (SELECT doc_id, text, strlen(text) AS n, regexp_extract_all(text, '{pieces}') AS ps FROM documents WHERE text <> ''),
+each AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM whole),
+ended AS (SELECT doc_id, piece, sum(strlen(piece)) OVER w AS e, lag(piece) OVER w AS prev FROM each WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+hits AS (SELECT doc_id, list(e - {wide} ORDER BY e) AS hs FROM ended WHERE {hit} AND {keep} GROUP BY doc_id),
+src AS (SELECT w.doc_id, hex(text) AS hx, n, coalesce(hs, []) AS hs FROM whole w LEFT JOIN hits h ON w.doc_id = h.doc_id),
 walk AS (
-  SELECT doc_id, text, n, -1 AS idx, 0 AS a, 0 AS b FROM src
+  SELECT doc_id, n, hs, -1 AS idx, 0::BIGINT AS a, 0::BIGINT AS b FROM src
   UNION ALL
-  SELECT doc_id, text, n, idx + 1, b, {cut} FROM (
-    SELECT *, substring(text, b + 1, 500) AS win, strlen(regexp_extract(substring(text, b + 1, 500), '(?s)^.*{hit}')) - {wide} AS h FROM walk WHERE b < n
-  )
+  SELECT doc_id, n, hs, idx + 1, b, CASE WHEN n - b <= {size} THEN n {cut} END
+  FROM (SELECT *, list_max(list_filter(hs, lambda p: p > b AND p <= b + {size - wide})) AS h, list_min(list_filter(hs, lambda p: p >= b + {size})) AS f FROM walk WHERE b < n)
 )
-SELECT doc_id, idx::INT AS idx, substring(text, a + 1, b - a) AS text, a::INT AS "offset", (b - a)::INT AS length FROM walk WHERE idx >= 0
+SELECT k.doc_id, idx::INT AS idx, md5(substring(hx, 2 * a + 1, 2 * (b - a))) AS md5, a::INT AS "offset", (b - a)::INT AS length
+FROM walk k JOIN src s ON k.doc_id = s.doc_id WHERE idx >= 0
 """
 
 
-def ascii_docs(spark, sf_dir):
-    return docs(spark, sf_dir).where("octet_length(text) = length(text) and n_chars > 0")
+ENDS = "right(piece, 1) IN (chr(10), '.', '?')"
+AFTER, BEFORE = "WHEN h IS NOT NULL THEN h + {0} ELSE b + 500", "WHEN h IS NOT NULL THEN h ELSE b + 500"
+
+
+def _chunks(spark, sf_dir, size, **options):
+    """Chunks of all documents by the bytes they hold: a cut may part a character."""
+    rows = chunking.chunk(docs(spark, sf_dir), size, as_bytes=True, **options)
+    return rows.select("doc_id", "idx", F.md5(F.hex("text")).alias("md5"), "offset", "length")
 
 
 def chunk_suffix(spark, sf_dir):
-    return chunking.chunk(ascii_docs(spark, sf_dir), 500)
+    return _chunks(spark, sf_dir, 500)
 
 
 def chunk_prefix(spark, sf_dir):
-    return chunking.chunk(ascii_docs(spark, sf_dir), 500, prefix=True)
+    return _chunks(spark, sf_dir, 500, prefix=True)
 
 
 def chunk_pattern(spark, sf_dir):
-    return chunking.chunk(ascii_docs(spark, sf_dir), 500, pattern=". ", prefix=True)
+    return _chunks(spark, sf_dir, 500, pattern=". ", prefix=True)
 
 
 def chunk_hard(spark, sf_dir):
-    return chunking.chunk(ascii_docs(spark, sf_dir), 500, delimiters="")
+    return _chunks(spark, sf_dir, 500, delimiters="")
 
 
 def chunk_fallback(spark, sf_dir):
-    return chunking.chunk(ascii_docs(spark, sf_dir), 40, delimiters="\n", prefix=True, forward_fallback=True)
-
-
-FALLBACK_SQL = r"""
-WITH RECURSIVE src AS (SELECT doc_id, text, strlen(text) AS n FROM documents WHERE strlen(text) = length(text) AND n_chars > 0),
-walk AS (
-  SELECT doc_id, text, n, -1 AS idx, 0 AS a, 0 AS b FROM src
-  UNION ALL
-  SELECT doc_id, text, n, idx + 1, b,
-    CASE WHEN n - b <= 40 THEN n WHEN h > 0 THEN b + h WHEN f > 0 THEN b + 40 + f - 1 ELSE n END
-  FROM (SELECT *, strlen(regexp_extract(substring(text, b + 1, 40), '(?s)^.*\n')) - 1 AS h, instr(substring(text, b + 41), chr(10)) AS f FROM walk WHERE b < n)
-)
-SELECT doc_id, idx::INT AS idx, substring(text, a + 1, b - a) AS text, a::INT AS "offset", (b - a)::INT AS length FROM walk WHERE idx >= 0
-"""
+    return _chunks(spark, sf_dir, 40, delimiters="\n", prefix=True, forward_fallback=True)
 
 
 def chunk_consecutive(spark, sf_dir):
-    return chunking.chunk(docs(spark, sf_dir), 500, consecutive=True, prefix=True)
+    return _chunks(spark, sf_dir, 500, consecutive=True, prefix=True)
 
 
 def chunk_bytes_kept(spark, sf_dir):
@@ -262,11 +261,12 @@ ORACLES = {
     "chunk_stats": STATS_SQL,
     "corpus_rollup": ROLLUP_SQL,
     "size_limit": "SELECT doc_id, strlen(text)::INT AS bytes, strlen(text) <= 4096 AS kept FROM documents",
-    "chunk_suffix": CHUNK_SQL.format(hit=r"[\n.?]", wide=1, cut="CASE WHEN n - b <= 500 THEN n WHEN h > 0 THEN b + h + 1 ELSE b + 500 END"),
-    "chunk_prefix": CHUNK_SQL.format(hit=r"[\n.?]", wide=1, cut="CASE WHEN n - b <= 500 THEN n WHEN h > 0 THEN b + h ELSE b + 500 END"),
-    "chunk_pattern": CHUNK_SQL.format(hit=r"\. ", wide=2, cut="CASE WHEN n - b <= 500 THEN n WHEN h > 0 THEN b + h ELSE b + 500 END"),
-    "chunk_hard": CHUNK_SQL.format(hit=r"\x00", wide=1, cut="CASE WHEN n - b <= 500 THEN n ELSE b + 500 END"),
-    "chunk_fallback": FALLBACK_SQL,
+    "chunk_suffix": _chunk_sql(PREV, ENDS, 1, 500, AFTER.format(1)),
+    "chunk_prefix": _chunk_sql(PREV, ENDS, 1, 500, BEFORE),
+    "chunk_pattern": _chunk_sql(r"(?s)(?:.*?\. )|(?:.+$)", "right(piece, 2) = '. '", 2, 500, BEFORE),
+    "chunk_hard": _chunk_sql(PREV, "false", 1, 500, "ELSE b + 500"),
+    "chunk_fallback": _chunk_sql(r"[^\n]*[\n]|[^\n]+", "right(piece, 1) = chr(10)", 1, 40, "WHEN h IS NOT NULL THEN h WHEN f IS NOT NULL THEN f ELSE n"),
+    "chunk_consecutive": _chunk_sql(PREV, ENDS, 1, 500, BEFORE, "NOT coalesce(strlen(piece) = 1 AND right(prev, 1) = piece, false)"),
     "chunk_bytes_kept": "SELECT doc_id, strlen(text)::BIGINT AS bytes, strlen(text)::INT AS \"end\" FROM documents WHERE text <> ''",
     "jsonl_rows": JSONL_SQL,
 }

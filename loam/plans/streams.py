@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from loam.plans.core import MERGE_SQL
+from loam.sources.scratch import fresh_dir
 from loam.streaming import documents as streaming
 
 
-def _scratch(spark) -> str:
-    """A folder for sinks: the shared one the session names, a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/loam-stream-{uuid.uuid4().hex}"
-
-
 def _table_stream(spark, sf_dir, name):
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
@@ -24,18 +16,19 @@ def _table_stream(spark, sf_dir, name):
 
 def stream_split(spark, sf_dir):
     """Packed chunks of the documents as a stream: the same rows as from the table."""
-    out = _scratch(spark)
+    out = fresh_dir(spark, "stream")
     chunks = streaming.stream_chunks(_table_stream(spark, sf_dir, "documents"), 64)
     chunks.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(chunks.schema).parquet(f"{out}/rows")
 
 
 def stream_windows(spark, sf_dir):
-    """Event counts by hour and type, kept by the sink in full."""
-    name = f"windows_{uuid.uuid4().hex}"
+    """Event counts by hour and type; each batch replaces the windows that it changed in a folder of its own."""
+    out = fresh_dir(spark, "stream")
     agg = streaming.event_windows(_table_stream(spark, sf_dir, "events"))
-    agg.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_scratch(spark)}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    streaming.each_update(agg, f"{out}/rows", f"{out}/log").awaitTermination()
+    rows = streaming.latest(spark.read.schema(agg.schema.add("batch", "long")).parquet(f"{out}/rows"), "start", "event_type")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def sessions(spark, sf_dir):

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loam.functions.lexicons import DEMONSTRATIVES, MARKERS, PRONOUNS, marker_phrases
+from loam.functions.lexicons import DEMONSTRATIVES, MARKERS, PRONOUNS, STOPWORDS, marker_phrases
 from loam.functions.vectors import jaccard
 from loam.operators import enrichment, segmentation, splitting
 from loam.plans.core import docs
@@ -41,14 +41,16 @@ def _by_lang(table, make):
 
 LANGS = ("en", "de", "fr", "es")
 LOW = r"lower(regexp_replace(text, '^\s+', ''))"
-MARKER_SQL = _by_lang(LANGS, lambda c: "CASE " + " ".join(f"WHEN regexp_matches(low, '{_pattern([p for p, m in marker_phrases(c) if m == marker])}') THEN '{marker}'" for marker in MARKERS[c]) + " END")
+MARKER_OF = {c: "CASE " + " ".join(f"WHEN regexp_matches(low, '{_pattern([p for p, m in marker_phrases(c) if m == marker])}') THEN '{marker}'" for marker in MARKERS[c]) + " END" for c in LANGS}
+MARKER_SQL = _by_lang(LANGS, MARKER_OF.get)
 DEMONSTRATIVE_SQL = "coalesce(" + _by_lang(LANGS, lambda c: f"regexp_matches(low, '{_pattern([f'{d} ' for d in DEMONSTRATIVES[c]])}')") + ", false)"
 FIRST_SQL = r"""lower(trim(regexp_extract(text, '\S+'), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~'))"""
 PRONOUN_SQL = "coalesce(" + _by_lang(LANGS, lambda c: f"{FIRST_SQL} IN ({', '.join(repr(p) for p in PRONOUNS[c].split())})") + ", false)"
 LOWERED_CTE = LINES_CTE + f", lowered AS (SELECT *, {LOW} AS low FROM lines)"
-PHRASES = _by_lang(LANGS, lambda c: "[" + ", ".join(f"'{quoted(p)}'" for p, _ in marker_phrases(c)) + "]")
-MARKED_CTE = LINES_CTE + f""", phrased AS (SELECT *, {PHRASES} AS phs FROM lines),
-marked AS (SELECT doc_id, block_idx, lang, CASE WHEN block_idx % 2 = 0 THEN phs[1 + (doc_id + block_idx) % len(phs)] || text ELSE text END AS text FROM phrased),
+PHRASES = "coalesce(" + _by_lang(LANGS, lambda c: "[" + ", ".join(f"'{quoted(p)}'" for p, _ in marker_phrases(c)) + "]") + ", [''])"
+MARKED_LINES_CTE = LINES_CTE + f""", phrased AS (SELECT *, {PHRASES} AS phs FROM lines),
+marked AS (SELECT doc_id, block_idx, lang, CASE WHEN block_idx % 2 = 0 THEN phs[1 + (doc_id + block_idx) % len(phs)] || text ELSE text END AS text FROM phrased)"""
+MARKED_CTE = MARKED_LINES_CTE + f""",
 lowered AS (SELECT *, {LOW} AS low FROM marked)"""
 
 
@@ -60,6 +62,27 @@ def marked_lines(spark, sf_dir):
     return rows.withColumn("text", F.when(F.col("block_idx") % 2 == 0, F.concat(pick, "text")).otherwise(F.col("text")))
 
 
+def typed_lines(spark, sf_dir):
+    """Marked lines as blocks of all kinds: every sixth is a heading of level 1 to 3 made of a line's first words, others
+    are list items, table rows and code."""
+    rows, i = marked_lines(spark, sf_dir), F.col("block_idx")
+    title = F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+){0,2})", 1)
+    heading = F.concat(F.repeat(F.lit("#"), 1 + F.floor(i / 6).cast("int") % 3), F.lit(" "), title, F.lit("\n"))
+    kind = F.when(i % 6 == 0, "Heading").when(i % 6 == 3, "List").when(i % 6 == 4, "Table").when(i % 6 == 5, "CodeBlock").otherwise("Sentence")
+    text = F.when(i % 6 == 0, heading).when(i % 6 == 3, F.concat(F.lit("- "), "text")).otherwise(F.col("text"))
+    return rows.withColumn("kind", kind).withColumn("text", text)
+
+
+TYPED_CTE = MARKED_LINES_CTE + rf""",
+typed AS (
+  SELECT doc_id, block_idx, lang, CASE block_idx % 6 WHEN 0 THEN 'Heading' WHEN 3 THEN 'List' WHEN 4 THEN 'Table' WHEN 5 THEN 'CodeBlock' ELSE 'Sentence' END AS kind,
+    CASE WHEN block_idx % 6 = 0 THEN 1 + (block_idx // 6) % 3 END AS lvl,
+    CASE block_idx % 6 WHEN 0 THEN repeat('#', 1 + (block_idx // 6) % 3) || ' ' || regexp_extract(text, '^\s*(\S+(?:\s+\S+){{0,2}})', 1) || chr(10) WHEN 3 THEN '- ' || text ELSE text END AS text FROM marked
+), titled AS (
+  SELECT *, CASE WHEN lvl IS NOT NULL THEN trim(regexp_replace(text, '^#+', ''), ' ' || chr(9) || chr(13) || chr(10)) END AS title, {LOW} AS low FROM typed
+)"""
+
+
 def discourse_markers(spark, sf_dir):
     rows = marked_lines(spark, sf_dir)
     return rows.select("doc_id", "block_idx", enrichment.discourse_marker(F.col("text"), F.col("lang")).alias("marker")).where("marker is not null")
@@ -74,43 +97,48 @@ def demonstrative_starts(spark, sf_dir):
 
 
 def noun_phrases(spark, sf_dir):
-    rows = line_blocks(spark, sf_dir).where("lang = 'en'")
+    rows = line_blocks(spark, sf_dir)
     return rows.select("doc_id", "block_idx", F.explode(enrichment.noun_phrases(F.col("text"), F.col("lang"))).alias("phrase"))
 
 
-WORDS_CTE = LINES_CTE + r""",
+TRIMMED = r"""trim({0}, '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~')"""
+STOP_SQL = "coalesce(" + _by_lang(LANGS, lambda c: "lower(w) IN (" + ", ".join(f"'{w}'" for w in STOPWORDS[c].split()) + ")") + ", false)"
+
+
+def words_cte(source: str) -> str:
+    """The words of the lines of a table with what the span rules ask of them, the spans and the noun phrases."""
+    return rf"""
 words AS (
-  SELECT doc_id, block_idx, unnest(ws) AS raw, generate_subscripts(ws, 1) AS k
-  FROM (SELECT doc_id, block_idx, regexp_extract_all(text, '\S+') AS ws FROM lines WHERE lang = 'en')
+  SELECT doc_id, block_idx, lang, unnest(ws) AS raw, generate_subscripts(ws, 1) AS k FROM (SELECT doc_id, block_idx, lang, regexp_extract_all(text, '\S+') AS ws FROM {source})
 ), clean AS (
-  SELECT *, trim(raw, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~') AS w FROM words
+  SELECT *, {TRIMMED.format("raw")} AS w FROM words
 ), flagged AS (
-  SELECT *, regexp_matches(w, '^\p{Lu}') AND strlen(w) > 1 AS up,
-    lower(w) IN ('the','a','an','in','on','at','to','of','by','for','with','from','and','or','but','is','are','was','were','not','no') AS stop FROM clean
-)
-"""
-PHRASES_SQL = "WITH " + WORDS_CTE + """, nonempty AS (SELECT * FROM flagged WHERE w <> ''),
-numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, block_idx ORDER BY k) - row_number() OVER (PARTITION BY doc_id, block_idx, up AND NOT stop ORDER BY k) AS grp FROM nonempty
-)
-SELECT doc_id, block_idx, string_agg(w, ' ' ORDER BY k) AS phrase FROM numbered WHERE up AND NOT stop GROUP BY doc_id, block_idx, grp HAVING count(*) >= 2
-"""
+  SELECT *, regexp_matches(w, '^\p{{Lu}}') AND strlen(w) > 1 AS up, {STOP_SQL} AS stop FROM clean
+), np_rows AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, block_idx ORDER BY k) - row_number() OVER (PARTITION BY doc_id, block_idx, up AND NOT stop ORDER BY k) AS grp FROM flagged WHERE w <> ''
+), phrases AS (
+  SELECT doc_id, block_idx, string_agg(w, ' ' ORDER BY k) AS phrase FROM np_rows WHERE up AND NOT stop GROUP BY doc_id, block_idx, grp HAVING count(*) >= 2
+), span_rows AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, block_idx ORDER BY k) - row_number() OVER (PARTITION BY doc_id, block_idx, up ORDER BY k) AS grp,
+    lag(raw) OVER (PARTITION BY doc_id, block_idx ORDER BY k) AS prev FROM flagged
+), opened AS (
+  SELECT *, bool_or(NOT stop) OVER (PARTITION BY doc_id, block_idx, up, grp ORDER BY k) AS inside FROM span_rows WHERE up
+), spans AS (
+  SELECT doc_id, block_idx, string_agg(w, ' ' ORDER BY k) AS span FROM opened WHERE inside GROUP BY doc_id, block_idx, grp
+  HAVING count(*) >= 2 OR NOT (min(k) = 1 OR regexp_matches(arg_min(prev, k), '[.!?]$'))
+)"""
+
+
+WORDS_CTE = LINES_CTE + "," + words_cte("lines")
+PHRASES_SQL = "WITH " + WORDS_CTE + " SELECT doc_id, block_idx, phrase FROM phrases"
 
 
 def capitalised_spans(spark, sf_dir):
-    rows = line_blocks(spark, sf_dir).where("lang = 'en'")
+    rows = line_blocks(spark, sf_dir)
     return rows.select("doc_id", "block_idx", F.explode(enrichment.capitalised_spans(F.col("text"), F.col("lang"))).alias("span"))
 
 
-SPANS_SQL = "WITH " + WORDS_CTE + r""", numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, block_idx ORDER BY k) - row_number() OVER (PARTITION BY doc_id, block_idx, up ORDER BY k) AS grp,
-    lag(raw) OVER (PARTITION BY doc_id, block_idx ORDER BY k) AS prev FROM flagged
-), opened AS (
-  SELECT *, bool_or(NOT stop) OVER (PARTITION BY doc_id, block_idx, up, grp ORDER BY k) AS inside FROM numbered WHERE up
-), kept AS (SELECT * FROM opened WHERE inside)
-SELECT doc_id, block_idx, string_agg(w, ' ' ORDER BY k) AS span FROM kept GROUP BY doc_id, block_idx, grp
-HAVING count(*) >= 2 OR NOT (min(k) = 1 OR regexp_matches(arg_min(prev, k), '[.!?]$'))
-"""
+SPANS_SQL = "WITH " + WORDS_CTE + " SELECT doc_id, block_idx, span FROM spans"
 
 
 def entity_jaccard(spark, sf_dir):
@@ -132,11 +160,11 @@ SELECT doc_id, block_idx, round(CASE WHEN len(list_distinct(a || b)) > 0 THEN le
 def latin_runs(spark, sf_dir):
     """Latin runs in documents turned mostly Cyrillic by replacing vowels."""
     text = F.translate(F.lower("text"), "etaoinsrhldcu", "етаоинсрхлдцу")
-    return docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.explode(enrichment.latin_spans(text)).alias("span")).groupBy("doc_id", "span").agg(F.count(F.lit(1)).alias("n"))
+    return docs(spark, sf_dir).select("doc_id", F.explode(enrichment.latin_spans(text)).alias("span")).groupBy("doc_id", "span").agg(F.count(F.lit(1)).alias("n"))
 
 
 LATIN_SQL = r"""
-WITH t AS (SELECT doc_id, translate(lower(text), 'etaoinsrhldcu', 'етаоинсрхлдцу') AS text FROM documents WHERE lang = 'en'),
+WITH t AS (SELECT doc_id, translate(lower(text), 'etaoinsrhldcu', 'етаоинсрхлдцу') AS text FROM documents),
 r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{Latin}[\p{Latin}0-9]*')) AS span FROM t
   WHERE len(regexp_extract_all(text, '\p{L}')) > 0 AND 2 * len(regexp_extract_all(text, '\p{Latin}')) <= len(regexp_extract_all(text, '\p{L}')))
 SELECT doc_id, span, count(*) AS n FROM r WHERE strlen(span) >= 2 GROUP BY doc_id, span
@@ -152,7 +180,7 @@ def markdown_docs(spark, sf_dir):
     """A document for each nation: two headings, a table of suppliers, a list of customers, a line of prose."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     rows = t("supplier").groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.concat(F.lit("| "), x["s_suppkey"].cast("string"), F.lit(" | "), x["s_name"], F.lit(" |\n"))), "").alias("table_rows"))
-    items = t("customer").where("c_custkey % 10 = 0").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.concat(F.lit("- "), x["c_name"], F.lit("\n"))), "").alias("items"))
+    items = t("customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.concat(F.lit("- "), x["c_name"], F.lit("\n"))), "").alias("items"))
     nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).join(rows, F.col("n_nationkey") == F.col("s_nationkey")).join(items, F.col("n_nationkey") == F.col("c_nationkey"))
     text = F.concat(F.lit("# "), "r_name", F.lit("\n\n## "), "n_name", F.lit("\n\n| id | name |\n|---|---|\n"), "table_rows", F.lit("\n"), "items", F.lit("\nAll of "), "n_name", F.lit(" is here. It ends.\n"))
     return nation.select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
@@ -160,7 +188,7 @@ def markdown_docs(spark, sf_dir):
 
 MARKDOWN_CTE = """
 tab AS (SELECT s_nationkey, string_agg('| ' || s_suppkey || ' | ' || s_name || ' |' || chr(10), '' ORDER BY s_suppkey) AS table_rows FROM supplier GROUP BY s_nationkey),
-its AS (SELECT c_nationkey, string_agg('- ' || c_name || chr(10), '' ORDER BY c_custkey) AS items FROM customer WHERE c_custkey % 10 = 0 GROUP BY c_nationkey),
+its AS (SELECT c_nationkey, string_agg('- ' || c_name || chr(10), '' ORDER BY c_custkey) AS items FROM customer GROUP BY c_nationkey),
 md AS (
   SELECT n_nationkey::BIGINT AS doc_id, n_name, r_name, rtrim(table_rows, chr(10)) AS tr, rtrim(items, chr(10)) AS it
   FROM nation JOIN region ON n_regionkey = r_regionkey JOIN tab ON n_nationkey = s_nationkey JOIN its ON n_nationkey = c_nationkey

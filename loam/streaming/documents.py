@@ -37,28 +37,41 @@ def each_batch(docs: DataFrame, method: Callable[[DataFrame], DataFrame], path:
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def each_update(agg: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the groups that every micro-batch changed, with the batch's number, under its own folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/part={number}")
+
+    return agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(rows: DataFrame, *keys: str) -> DataFrame:
+    """The newest row of each group that ``each_update`` wrote."""
+    rest = [c for c in rows.columns if c not in keys]
+    newest = F.max(F.struct("batch", *[c for c in rest if c != "batch"]))
+    return rows.groupBy(*keys).agg(newest.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest if c != "batch"])
+
+
 def key_dictionary(keys: DataFrame) -> DataFrame:
-    """(semantic_key, chunks, n): a rolling dictionary over a stream of (semantic_key, doc_id, idx), in state by key.
+    """(semantic_key, places, n): a rolling dictionary over a stream of (semantic_key, doc_id, idx), in state by key.
 
-    Emits a key's first 100 places and their full number whenever it changes; the stored list has that bound, the
-    number has none.
+    The state is the number of places a key has had; each update emits the places that are new, numbered on from there,
+    so all places together are those of the sink and state stays one number a key.
     """
     out = "semantic_key string, places array<string>, n long"
-    state = "places array<string>, n long"
 
     def update(key: tuple, frames, held: GroupState):
         import pandas as pd
 
-        places, n = held.get if held.exists else ([], 0)
-        places = list(places)
+        (n,) = held.get if held.exists else (0,)
         for frame in frames:
             found = [f"{d}:{i}" for d, i in zip(frame["doc_id"], frame["idx"])]
-            places.extend(found[: max(0, 100 - len(places))])
             n += len(found)
-        held.update((places, n))
-        yield pd.DataFrame({"semantic_key": [key[0]], "places": [places], "n": [n]})
+            yield pd.DataFrame({"semantic_key": [key[0]], "places": [found], "n": [n]})
+        held.update((n,))
 
-    return keys.groupBy("semantic_key").applyInPandasWithState(update, out, state, "update", GroupStateTimeout.NoTimeout)
+    return keys.groupBy("semantic_key").applyInPandasWithState(update, out, "n long", "update", GroupStateTimeout.NoTimeout)
 
 
 def event_windows(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -90,6 +90,42 @@ def test_split_patterns(spark):
     assert one(["zz"], "prev") == ["Hello. World. Test."] and one([], "prev") == ["Hello. World. Test."]
 
 
+def model_cut(raw, delimiters, attach):
+    out, held = [], b""
+    for x in raw:
+        c = bytes([x])
+        if c not in [bytes([d]) for d in delimiters]:
+            held += c
+        elif attach == "prev":
+            out, held = [*out, held + c], b""
+        elif attach == "next":
+            out, held = [*out, held], c
+        else:
+            out, held = [*out, held], b""
+    return [x for x in [*out, held] if x]
+
+
+def test_delimiters_beyond_ascii_are_their_bytes(spark):
+    random.seed(4)
+    for attach in splitting.ATTACH:
+        for _ in range(60):
+            raw = "".join(random.choice("aé€.") for _ in range(random.randint(0, 30))).encode()
+            assert [raw[a:b] for a, b in splitting.cut_bytes(raw, "é.".encode(), attach)] == model_cut(raw, "é.".encode(), attach)
+    assert texts(spark, "aéb", delimiters="é") == [("a\ufffd", 0), ("\ufffd", 2), ("b", 3)] and texts(spark, None, delimiters="é") == []
+
+
+def test_a_million_segments(spark):
+    df = spark.createDataFrame([(1, "a. " * 200_000)], "doc_id long, text string")
+    rows = merging.merge(df, splitting.split_spans(F.col("text")), 100)
+    assert rows.agg(F.count("*"), F.sum("length"), F.max(F.col("offset") + F.col("length"))).first()[:] == (2001, 600_000, 600_000)
+
+
+def test_merge_endpoint(spark):
+    df = spark.createDataFrame([(1, ["a b", "c é", "d e f", "g"]), (2, [])], "doc_id long, chunks array<string>")
+    got = [tuple(r)[1:] for r in merging.merge_chunks(df, 4).orderBy("idx").collect()]
+    assert got == [(0, "a bc é", 0, 7, 4), (1, "d e fg", 7, 6, 4)]
+
+
 def test_parsing():
     assert parse_escapes(r"\n\t\\\x") == "\n\t\\\\x"
     assert parse_patterns(r"a,,b\n") == ["a", "b\n"]

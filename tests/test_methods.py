@@ -197,6 +197,70 @@ def test_screening(spark):
         adaptive.pre_screen(docs, rows, ("topo",), has_model=False)
 
 
+def test_language_is_detected_where_it_is_not_known(spark):
+    docs = spark.createDataFrame(
+        [(1, "However, the cat is on the mat.", None), (1, "Der Hund und die Katze sind auf der Matte.", "xx"), (2, "However, x.", "English"), (None, "However, the dog is not here.", "auto")], "doc_id long, text string, lang string"
+    )
+    got = sorted((r.doc_id or 0, r.lang, r.marker) for r in api.prepared_blocks(docs).collect())
+    assert got == [(0, "en", "Contrast"), (1, "de", None), (1, "en", "Contrast"), (2, "en", "Contrast")]
+
+
+def test_one_block_lists_all_its_entities(spark):
+    rows = enrichment.enrich(blocks(spark, "we saw Ann, Bob, Cid, Dan, Eve, Fay and Gus")).withColumn("sim", F.lit(0.5))
+    chunks = cognitive.cognitive_chunks(rows)[0].collect()
+    assert [sorted(c.dominant) for c in chunks] == [["ann", "bob", "cid", "dan", "eve", "fay", "gus"]]
+
+
+def test_merged_entities_unite_by_name_and_records_are_renumbered(spark):
+    entity = "array<struct<name:string,entity_type:string>>"
+    chunks = spark.createDataFrame(
+        [(1, i, f"t{i}", 0, 1, 5, "t", "s", "c", ["k"], [("A", f"T{i}"), ("B", "T")], ["q"], keys) for i, keys in enumerate((["x"], ["x"], ["y"], ["y"]))],
+        f"doc_id long, idx int, text string, offset_start int, offset_end int, tokens int, title string, summary string, category string, keywords array<string>, typed_entities {entity}, hypothetical_questions array<string>, semantic_keys array<string>",
+    )
+    out = enriched.recombine(chunks).orderBy("idx").collect()
+    assert [[(e.name, e.entity_type) for e in r.typed_entities] for r in out] == [[("A", "T0"), ("B", "T")], [("A", "T2"), ("B", "T")]]
+    assert sorted((r.result, r.sources) for r in enriched.merge_records(enriched.merge_plan(chunks)).collect()) == [(0, [0, 1]), (1, [2, 3])]
+
+
+def test_chunk_references(spark):
+    parts = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 2, 4), (1, 2, 4, 6)], "doc_id long, part int, start int, end int")
+    links = spark.createDataFrame([(1, 0, 5), (1, 1, 3), (1, 2, 3)], "doc_id long, source int, target int")
+    assert {r.part: r.chunk_references for r in topology.chunk_references(parts, links).collect()} == {0: [1, 2], 1: [0], 2: [0]}
+
+
+def test_best_chunks_skips_a_failing_candidate(spark):
+    docs = spark.createDataFrame([(1, MARKDOWN), (2, "Plain text. Two sentences.")], "doc_id long, text string")
+
+    def run(docs, method, rows):
+        if method == "cognitive":
+            raise ValueError("out of order")
+        return api.chunk_documents(docs, method, rows)
+
+    chunks, report = api.best_chunks(docs, ("semantic", "cognitive", "topo"), run=run, force=True)
+    told = {(r.doc_id, r.method): r for r in report.collect()}
+    assert told[1, "cognitive"].failure == "ValueError: out of order" and told[1, "cognitive"].composite is None and told[1, "semantic"].composite is not None
+    assert {r.doc_id: r.method for r in chunks.collect()}.keys() == {1, 2} and sum(r.won for r in told.values()) == 2
+    assert all("section_classification" in r.details for r in chunks.collect() if r.method == "topo")
+    assert {r.method for r in api.best_chunks(docs, ("semantic", "topo"), has_model=False)[1].collect()} == {"semantic"}
+    with pytest.raises(ValueError, match="all candidate methods failed"):
+        api.best_chunks(docs, ("cognitive",), run=run)
+
+
+def test_job_writes_every_sink(spark, tmp_path, capsys):
+    import json
+
+    spark.createDataFrame([(1, MARKDOWN, "en"), (2, "Plain text. Two sentences.", None)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "in"))
+    at = lambda name: str(tmp_path / name)
+    api.main(["cognitive", at("in"), at("out"), "--format", "jsonl", "--signals", at("signals"), "--graph", at("graph"), "--stats", "--soft", "40", "--hard", "60"])
+    rows = [json.loads(r.value) for r in spark.read.json(at("out")).collect()]
+    assert list(rows[0])[:5] == ["index", "text", "offset_start", "offset_end", "length"] and {"dominant_entities", "token_estimate", "continuity_confidence"} <= set(rows[0])
+    graph_ = [json.loads(r.value) for r in spark.read.json(at("graph")).collect()]
+    assert all(len(g["nodes"]) == g["metadata"]["chunk_count"] and len(g["edges"]) == g["metadata"]["edge_count"] for g in graph_) and len(graph_) == 2
+    assert spark.read.json(at("signals")).count() > 0 and "avg_tokens" in capsys.readouterr().out
+    api.main(["semantic", at("in"), at("plain"), "--format", "plain", "--merge", "5", "--lang", "German"])
+    assert "Plain text." in "".join(r.value for r in spark.read.text(at("plain")).collect())
+
+
 def test_winner_order(spark):
     s = spark.createDataFrame([(1, "a", 0, 0.5, 3), (1, "b", 1, 0.5, 2), (1, "c", 2, 0.5, 2), (2, "a", 0, 0.1, 1), (2, "b", 1, 0.9, 9)], "doc_id long, method string, ord int, composite double, chunk_count long")
     assert {r.doc_id: r.method for r in adaptive.winners(s).collect()} == {1: "b", 2: "b"}

@@ -63,6 +63,56 @@ def test_columns(spark):
     assert [r.x and r.x.a for r in texts.select(http.complete_column(F.col("t"), "s", {}, "a int", client).alias("x")).collect()] == [5, None, None]
 
 
+def test_rerank_failures_and_requests(spark):
+    def client():
+        def rank(query, texts):
+            if query == "bad":
+                raise OSError("down")
+            return [len(t) / 10 for t in texts]
+
+        return rank
+
+    pairs = spark.createDataFrame([("a", "xx"), ("a", "xxxx"), ("bad", "x"), ("b", "x")], "l string, r string").coalesce(1)
+    assert [r.score for r in http.rerank_pairs(pairs, client, "l", "r").collect()] == [0.2, 0.4, None, 0.1]
+
+
+def test_onnx_reranker(monkeypatch, tmp_path):
+    class Coded:
+        def __init__(self, pair):
+            self.ids, self.attention_mask, self.type_ids = [len(pair[0]), len(pair[1])], [1, 1], [0, 1]
+
+    class Session:
+        def get_inputs(self):
+            return [type("I", (), {"name": n}) for n in ("input_ids", "attention_mask")]
+
+        def run(self, _, feed):
+            assert set(feed) == {"input_ids", "attention_mask"}
+            return [(feed["input_ids"][:, 1] - feed["input_ids"][:, 0]).astype("float32")[:, None]]
+
+    tokenizer = type("T", (), {"encode_batch": staticmethod(lambda pairs: [Coded(p) for p in pairs])})
+    client = http.make_reranker(f"onnx:{tmp_path}/Model")
+    assert client.folder == f"{tmp_path}/Model"
+    with pytest.raises(FileNotFoundError):
+        client("a", ["b"])
+    client._loaded = (tokenizer, Session())
+    assert client("ab", ["ab", "abcd"]) == pytest.approx([0.5, 0.8807970779778823])
+    assert len(client.pairs([("a", "b")] * 150)) == 150
+    with pytest.raises(ValueError):
+        http.make_reranker("oauth")
+    assert http.make_reranker("cohere", "key").kind == "cohere"
+
+
+def test_settings_and_token_check(tmp_path):
+    (tmp_path / ".env").write_text("# keys\nexport A_KEY='from file'\nB=2\n")
+    file = str(tmp_path / ".env")
+    assert http.setting("A_KEY", "given", {"A_KEY": "env"}, file) == "given" and http.setting("A_KEY", None, {"A_KEY": "env"}, file) == "env"
+    assert http.setting("A_KEY", None, {}, file) == "from file" and http.setting("C", None, {}, file) is None
+    good = http.CloudflareEmbeddings("t", "a", ask=lambda url, head: {"success": True, "result": {"status": "active"}})
+    good.verify()
+    with pytest.raises(ValueError):
+        http.CloudflareEmbeddings("t", "a", ask=lambda url, head: {"success": False}).verify()
+
+
 def test_hash_embedding(spark):
     df = spark.createDataFrame([("a a b",), ("",)], "t string")
     a, b = [r.v for r in df.select(local.hash_embedding(F.col("t")).alias("v")).collect()]

@@ -63,8 +63,20 @@ def test_blocks_and_offsets(spark):
     assert [(r.kind, r.text) for r in rows if r.doc_id == 2] == [("Sentence", "Plain é. "), ("Sentence", "Two!")]
     stats = {r.doc_id: r for r in segmentation.block_stats(segmentation.blocks(df)).collect()}
     assert stats[1].n_heading == 3 and stats[1].n_sentence == 4 and stats[1].n_blocks == 12
-    assert segmentation.blocks(df, max_blocks=3).select("doc_id").distinct().count() == 1
-    assert segmentation.oversized(df, max_blocks=3).first().n_blocks == 12
+    assert segmentation.blocks(df, max_blocks=3, oversized="skip").select("doc_id").distinct().count() == 1
+    assert segmentation.oversized_documents(df, max_blocks=3).first().n_blocks == 12
+    with pytest.raises(Exception, match="document 1 has 12 blocks"):
+        segmentation.blocks(df, max_blocks=3).collect()
+    with pytest.raises(ValueError):
+        segmentation.blocks(df, oversized="cut")
+
+
+def test_lines_end_at_line_breaks_only(spark):
+    text = "para one\x0c# not heading\u2028# nor this\x85x é\r# Real\r\n\nend\x0b here."
+    got = [(k, text[a:b]) for a, b, k in markdown_blocks(text)]
+    assert got == [("Paragraph", "para one\x0c# not heading\u2028# nor this\x85x é"), ("Heading", "# Real"), ("Paragraph", "end\x0b here.")]
+    rows = segmentation.blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert all(text.encode()[r.offset_start : r.offset_end].decode() == r.text for r in rows)
 
 
 def test_sentences_against_icu(spark):
