@@ -206,7 +206,7 @@ def test_language_is_detected_where_it_is_not_known(spark):
 
 
 def test_one_block_lists_all_its_entities(spark):
-    rows = enrichment.enrich(blocks(spark, "we saw Ann, Bob, Cid, Dan, Eve, Fay and Gus")).withColumn("sim", F.lit(0.5))
+    rows = enrichment.enrich(blocks(spark, "the Ann the Bob the Cid the Dan the Eve the Fay the Gus")).withColumn("sim", F.lit(0.5))
     chunks = cognitive.cognitive_chunks(rows)[0].collect()
     assert [sorted(c.dominant) for c in chunks] == [["ann", "bob", "cid", "dan", "eve", "fay", "gus"]]
 
