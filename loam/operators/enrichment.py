@@ -76,8 +76,9 @@ def _flagged(text: Column, lang: Column) -> Column:
     return let(_stopwords(lang), one)
 
 
-def capitalised_spans(text: Column, lang: Column) -> Column:
-    """Runs of capitalised words that start with no function word; a single one counts unless a sentence starts there."""
+def capitalised_spans(text: Column, lang: Column, flagged: Column | None = None) -> Column:
+    """Runs of capitalised words that start with no function word; a single one counts unless a sentence starts there.
+    ``flagged`` are the text's words where they are at hand."""
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("run"), F.lit(False).alias("opening"), F.lit(True).alias("ended"))
 
     def close(s: Column) -> Column:
@@ -94,10 +95,10 @@ def capitalised_spans(text: Column, lang: Column) -> Column:
             x["ends"].alias("ended"),
         )
 
-    return F.aggregate(_flagged(text, lang), zero, step, close)
+    return F.aggregate(_flagged(text, lang) if flagged is None else flagged, zero, step, close)
 
 
-def noun_phrases(text: Column, lang: Column) -> Column:
+def noun_phrases(text: Column, lang: Column, flagged: Column | None = None) -> Column:
     """Runs of two or more capitalised words that are no function words; punctuation alone breaks no run."""
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("run"))
 
@@ -111,7 +112,7 @@ def noun_phrases(text: Column, lang: Column) -> Column:
             F.when(grows, F.concat(s["run"], F.array(x["w"]))).otherwise(F.array().cast("array<string>")).alias("run"),
         ))
 
-    return F.aggregate(_flagged(text, lang), zero, step, close)
+    return F.aggregate(_flagged(text, lang) if flagged is None else flagged, zero, step, close)
 
 
 def _entity(surface: Column, normalized: Column, kind: str) -> Column:
@@ -162,10 +163,10 @@ def first_of_each(entities: Column) -> Column:
     )  # entities of one block: short lists
 
 
-def entities(text: Column, lang: Column, heading_terms: Column | None = None) -> Column:
+def entities(text: Column, lang: Column, heading_terms: Column | None = None, flagged: Column | None = None) -> Column:
     """array<struct<surface, normalized, type>>: capitalised spans, heading terms, demonstratives, pronouns, script runs."""
     terms = heading_terms if heading_terms is not None else F.array().cast("array<string>")
-    named = F.transform(capitalised_spans(text, lang), lambda s: _entity(s, F.lower(s), "Named"))
+    named = F.transform(capitalised_spans(text, lang, flagged), lambda s: _entity(s, F.lower(s), "Named"))
     from_headings = F.transform(F.array_sort(F.filter(terms, lambda t: F.contains(F.lower(text), t))), lambda t: _entity(t, t, "Named"))
     return first_of_each(F.concat(named, from_headings, demonstrative_entities(text), pronoun_entities(text), script_entities(text, lang)))
 
@@ -270,13 +271,14 @@ def enrich(rows: DataFrame, key: str = "doc_id", terms: DataFrame | None = None)
     known = F.coalesce(F.col("terms"), F.array().cast("array<string>")) if terms is not None else None
     return (
         marked.withColumn("tokens", block_tokens(text))
-        .withColumn("entities", entities(text, lang, known))
-        .withColumn("noun_phrases", noun_phrases(text, lang))
+        .withColumn("_flagged", _flagged(text, lang))
+        .withColumn("entities", entities(text, lang, known, F.col("_flagged")))
+        .withColumn("noun_phrases", noun_phrases(text, lang, F.col("_flagged")))
         .withColumn("marker", discourse_marker(text, lang))
         .withColumn("pronoun", starts_with_pronoun(text, lang))
         .withColumn("demonstrative", starts_with_demonstrative(text, lang))
         .withColumn("continues_list", F.coalesce((F.col("kind") == "List") & (F.lag("kind").over(w) == "List"), F.lit(False)))
-        .drop("terms")
+        .drop("terms", "_flagged")
     )
 
 
