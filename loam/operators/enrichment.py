@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.arrays import let
 from loam.functions.lexicons import DEMONSTRATIVES, LANGUAGES, MARKERS, PRONOUNS, STOPWORDS, STRENGTH, marker_phrases
-from loam.functions.text import block_tokens, first_word, is_upper, left_trim, trim_punctuation, words
+from loam.functions.text import ASCII_PUNCTUATION, SPACE, block_tokens, first_word, is_upper, left_trim, trim_punctuation, words
 from loam.functions.vectors import jaccard
 
 ENTITY = "array<struct<surface:string,normalized:string,type:string>>"
@@ -63,57 +63,81 @@ def _stopwords(lang: Column) -> Column:
 
 
 def _flagged(text: Column, lang: Column) -> Column:
-    """Words of a text with what the span rules ask of them."""
+    """The stretches of a text that hold capitalised words, as arrays of their words with what the span rules ask of them.
+
+    A stretch is words with a capital in front and the punctuation words between them; a sentence's end before it is its
+    first word. One regular expression finds all of them, so no other word is looked at. Its loops give nothing back, which
+    keeps them off the stack whatever their length.
+    """
+    punctuation = "[" + re.escape(ASCII_PUNCTUATION) + "]"
+    capital = rf"{punctuation}*+\p{{Lu}}[^{SPACE}]*+"
+    stretch = rf"((?:[.!?][{SPACE}]++|(?<![^{SPACE}])){capital}(?:[{SPACE}]++(?:{capital}|{punctuation}++(?![^{SPACE}])))*+)"
 
     def one(stop: Column) -> Column:
+        def marked(word: Column, w: Column, upper: Column) -> Column:
+            ends = F.endswith(word, F.lit(".")) | F.endswith(word, F.lit("!")) | F.endswith(word, F.lit("?"))
+            return F.struct(w.alias("w"), upper.alias("upper"), (upper & F.array_contains(stop, F.lower(w))).alias("stop"), ends.alias("ends"))
+
         def flag(word: Column) -> Column:
-            return let(trim_punctuation(word), lambda w: F.struct(
-                w.alias("w"), (is_upper(w) & (F.octet_length(w) > 1)).alias("upper"),
-                F.array_contains(stop, F.lower(w)).alias("stop"), word.rlike(r"[.!?]$").alias("ends"),
-            ))
+            return let(trim_punctuation(word), lambda w: let(is_upper(w) & (F.octet_length(w) > 1), lambda u: marked(word, w, u)))
 
-        return F.transform(words(text), flag)
+        # The start of a text counts as the end of a sentence.
+        return F.transform(F.regexp_extract_all(F.concat(F.lit(". "), text), F.lit(stretch), F.lit(1)), lambda s: F.transform(words(s), flag))
 
     return let(_stopwords(lang), one)
 
 
+def _phrase(stretch: Column, start: Column, n: Column) -> Column:
+    """An array of one: the words of a part of a stretch, punctuation words left out."""
+    return F.array(F.array_join(F.filter(F.transform(F.slice(stretch, start, n), lambda x: x["w"]), lambda w: w != ""), " "))
+
+
 def capitalised_spans(text: Column, lang: Column, flagged: Column | None = None) -> Column:
     """Runs of capitalised words that start with no function word; a single one counts unless a sentence starts there.
-    ``flagged`` are the text's words where they are at hand."""
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("run"), F.lit(False).alias("opening"), F.lit(True).alias("ended"))
+    ``flagged`` are the text's stretches where they are at hand. A run is held as its start, so long runs cost no copies."""
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("start"), F.lit(1).alias("at"), F.lit(False).alias("opening"), F.lit(False).alias("ended"))
+
+    def spans(stretch: Column) -> Column:
+        def close(s: Column) -> Column:
+            n = s["at"] - s["start"]
+            real = (s["start"] > 0) & ((n >= 2) | ~s["opening"])
+            return F.when(real, F.concat(s["out"], _phrase(stretch, s["start"], n))).otherwise(s["out"])
 
-    def close(s: Column) -> Column:
-        real = (F.size(s["run"]) >= 2) | ((F.size(s["run"]) == 1) & ~s["opening"])
-        return F.when(real, F.concat(s["out"], F.array(F.array_join(s["run"], " ")))).otherwise(s["out"])
+        def step(s: Column, x: Column) -> Column:
+            running = s["start"] > 0
+            return F.struct(
+                F.when(running & ~x["upper"], close(s)).otherwise(s["out"]).alias("out"),
+                F.when(~x["upper"], 0).when(running, s["start"]).when(x["stop"], 0).otherwise(s["at"]).alias("start"),
+                (s["at"] + 1).alias("at"),
+                F.when(running, s["opening"]).otherwise(s["ended"]).alias("opening"),
+                x["ends"].alias("ended"),
+            )
 
-    def step(s: Column, x: Column) -> Column:
-        running = F.size(s["run"]) > 0
-        grows, opens = running & x["upper"], ~running & x["upper"] & ~x["stop"]
-        return F.struct(
-            F.when(running & ~x["upper"], close(s)).otherwise(s["out"]).alias("out"),
-            F.when(grows, F.concat(s["run"], F.array(x["w"]))).when(opens, F.array(x["w"])).otherwise(F.array().cast("array<string>")).alias("run"),
-            F.when(opens, s["ended"]).otherwise(s["opening"]).alias("opening"),
-            x["ends"].alias("ended"),
-        )
+        return F.aggregate(stretch, zero, step, close)
 
-    return F.aggregate(_flagged(text, lang) if flagged is None else flagged, zero, step, close)
+    return F.flatten(F.transform(_flagged(text, lang) if flagged is None else flagged, spans))
 
 
 def noun_phrases(text: Column, lang: Column, flagged: Column | None = None) -> Column:
     """Runs of two or more capitalised words that are no function words; punctuation alone breaks no run."""
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("run"))
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("start"), F.lit(1).alias("at"), F.lit(0).alias("n"))
+
+    def phrases(stretch: Column) -> Column:
+        def close(s: Column) -> Column:
+            return F.when(s["n"] >= 2, F.concat(s["out"], _phrase(stretch, s["start"], s["at"] - s["start"]))).otherwise(s["out"])
 
-    def close(s: Column) -> Column:
-        return F.when(F.size(s["run"]) >= 2, F.concat(s["out"], F.array(F.array_join(s["run"], " ")))).otherwise(s["out"])
+        def step(s: Column, x: Column) -> Column:
+            grows, passes = x["upper"] & ~x["stop"], x["w"] == ""
+            return F.struct(
+                F.when(grows | passes, s["out"]).otherwise(close(s)).alias("out"),
+                F.when(passes, s["start"]).when(~grows, 0).when(s["n"] > 0, s["start"]).otherwise(s["at"]).alias("start"),
+                (s["at"] + 1).alias("at"),
+                F.when(passes, s["n"]).when(grows, s["n"] + 1).otherwise(0).alias("n"),
+            )
 
-    def step(s: Column, x: Column) -> Column:
-        grows = x["upper"] & ~x["stop"]
-        return F.when(x["w"] == "", s).otherwise(F.struct(
-            F.when(grows, s["out"]).otherwise(close(s)).alias("out"),
-            F.when(grows, F.concat(s["run"], F.array(x["w"]))).otherwise(F.array().cast("array<string>")).alias("run"),
-        ))
+        return F.aggregate(stretch, zero, step, close)
 
-    return F.aggregate(_flagged(text, lang) if flagged is None else flagged, zero, step, close)
+    return F.flatten(F.transform(_flagged(text, lang) if flagged is None else flagged, phrases))
 
 
 def _entity(surface: Column, normalized: Column, kind: str) -> Column:
@@ -168,7 +192,8 @@ def entities(text: Column, lang: Column, heading_terms: Column | None = None, fl
     """array<struct<surface, normalized, type>>: capitalised spans, heading terms, demonstratives, pronouns, script runs."""
     terms = heading_terms if heading_terms is not None else F.array().cast("array<string>")
     named = F.transform(capitalised_spans(text, lang, flagged), lambda s: _entity(s, F.lower(s), "Named"))
-    from_headings = F.transform(F.array_sort(F.filter(terms, lambda t: F.contains(F.lower(text), t))), lambda t: _entity(t, t, "Named"))
+    met = let(F.lower(text), lambda low: F.filter(terms, lambda t: F.contains(low, t)))
+    from_headings = F.transform(F.array_sort(met), lambda t: _entity(t, t, "Named"))
     return first_of_each(F.concat(named, from_headings, demonstrative_entities(text), pronoun_entities(text), script_entities(text, lang)))
 
 

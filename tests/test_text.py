@@ -110,10 +110,22 @@ def test_spans(spark):
     text, lang = F.col("text"), F.col("lang")
     check(spark, enrichment.capitalised_spans(text, lang), [("Paris is big. Rome too, but New York City wins", "en", ["New York City"]), ("we saw Paris", "en", ["Paris"]), ("The Big House", "en", ["Big House"]), ("John The Great came", "en", ["John The Great"]), ("", "en", []), ("A Bc", "en", ["Bc"])])
     check(spark, enrichment.noun_phrases(text, lang), [("Big - House is The New Car", "en", ["Big House", "New Car"]), ("Alone here", "en", [])])
+    check(spark, enrichment.capitalised_spans(text, lang), [
+        (None, "en", None), ("see ... Foo", "en", []), ("see .- Foo", "en", ["Foo"]), ("ran!\u3000Foo", "en", []), (".Foo x", "en", []), ("x .Foo", "en", ["Foo"]),
+        ("in A. Rome Of X.Y", "en", ["Rome Of X.Y"]), ("da \u00c9", None, ["\u00c9"]), ("we Foo, bar (Qux)", "en", ["Foo", "Qux"]),
+    ])
+    check(spark, enrichment.noun_phrases(text, lang), [(None, "en", None), ("x Foo ... !? Bar - y Baz", "en", ["Foo Bar"]), ("Foo The Bar Baz", "en", ["Bar Baz"])])
     check(spark, enrichment.katakana_spans(text), [("これはコンピューター。", "ja", ["コンピュータ"]), ("ア", "ja", [])])
     check(spark, enrichment.latin_spans(text), [("使用Python3和SQL语言编写程序代码内容", "zh", ["Python3", "SQL"]), ("mostly latin 字", "zh", [])])
 
 
+def test_long_runs_of_capitals(spark):
+    n = 20_000
+    df = spark.createDataFrame([("Foo ", "Foo - ", "en")], "a string, b string, lang string").select(F.repeat("a", F.lit(n)).alias("a"), F.repeat("b", F.lit(n)).alias("b"), "lang")
+    got = df.select(enrichment.capitalised_spans(F.col("a"), F.col("lang")), enrichment.noun_phrases(F.col("b"), F.col("lang"))).first()
+    assert [[len(x) for x in xs] for xs in got] == [[4 * n - 1], [4 * n - 1]]
+
+
 def test_entities(spark):
     df = spark.createDataFrame([("This Engine works. It uses Big Data", ["engine"])], "text string, t array<string>")
     got = df.select(enrichment.entities(F.col("text"), F.lit("en"), F.col("t")).alias("e")).first().e
