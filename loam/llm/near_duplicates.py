@@ -3,9 +3,11 @@
 At a similarity of 0.8 two 64-bit fingerprints differ in up to about twenty bits, too many for blocks of bits to
 agree. Here the shards that get a BK-tree of their own are the documents with the same least shingle under one of
 ``TABLES`` random orders: at similarity s a pair misses all of them with probability (1 - s) ** TABLES, 0.00006 at
-0.8. A bucket of more than ``TREE_NODES`` texts is cut by the least shingles under ``TABLES`` more orders of their own,
-so a pair inside it misses the cut with 0.00006 as well: 0.00013 at most in all, whatever the size of a bucket. What
-stays large after that shares two least shingles, so much of it is similar, and is searched whole in one task.
+0.8. Texts in a bucket of more than ``TREE_NODES`` meet in buckets of two least shingles instead, out of ``PAIRS`` of
+the same and as many more orders. A pair misses all of those only if it agrees in at most one order of each of three
+sets of four, with probability 0.00002 at 0.8, whatever the size of a bucket. So a text has at most ``TABLES`` and
+``PAIRS`` buckets, and the rows grow with the number of texts, however large a group of similar ones is. What stays
+large after that shares two least shingles, so much of it is similar, and is searched whole in one task.
 
 Within a bucket each text searches the tree within ``RADIUS`` bits; a candidate is a text whose estimate from
 ``SIGNATURE`` least-shingle bytes is no lower than ``MARGIN`` below the threshold. At a similarity of 0.8 a pair is
@@ -41,7 +43,9 @@ from loam.llm.spans import mix, text_batches
 from loam.llm.store import written
 
 SHINGLE, SIMILARITY = 5, 0.8
-TABLES, LEVELS, SIGNATURE, RADIUS, MARGIN = 6, 2, 128, 26, 0.15
+TABLES, ORDERS, SIGNATURE, RADIUS, MARGIN = 6, 12, 128, 26, 0.15
+#: The orders that cut hot buckets, the first ``TABLES`` among them, by twos: all pairs inside three sets of four orders.
+PAIRS = [(i, j) for i in range(ORDERS) for j in range(i + 1, ORDERS) if i % 3 == j % 3]
 #: Share of signature bytes and number of different bits at which a text stays out of the tree.
 CLOSE, CLOSE_BITS = 0.97, 2
 #: Texts of a bucket up to which it is not cut again.
@@ -54,13 +58,13 @@ LAST_ID = 2**63 - 1
 class Signer:
     def __init__(self):
         rng = np.random.default_rng(17)
-        self.order = rng.integers(0, 2**63, TABLES * LEVELS, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.order = rng.integers(0, 2**63, ORDERS, np.uint64) * np.uint64(2) + np.uint64(1)
         self.a = (rng.integers(0, 2**31, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
         self.b = rng.integers(0, 2**32, SIGNATURE, np.uint64).astype(np.uint32)
 
     def sign(self, hashes: np.ndarray) -> tuple[list[int], bytes]:
         hashes = np.unique(hashes)
-        keys = np.full(TABLES * LEVELS, np.uint64(2**64 - 1))
+        keys = np.full(ORDERS, np.uint64(2**64 - 1))
         least = np.full(SIGNATURE, np.uint32(2**32 - 1))
         for lo in range(0, len(hashes), 4096):
             part = hashes[lo : lo + 4096]
@@ -96,23 +100,24 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def bucket_members(texts: DataFrame) -> DataFrame:
-    """(bucket, h, fp, sig) of buckets with two texts or more, hot ones cut by the orders of the next level.
+    """(bucket, h, fp, sig) of buckets with two texts or more, those of texts in hot ones cut by ``PAIRS`` of orders.
 
     Buckets are numbers of 64 bits until their last cut; only those are joined with what a task needs of a text.
     """
-    out, now = None, texts.select("h", F.lit(0).cast("long").alias("bucket"))
-    for level in range(LEVELS):
-        keys = texts.select("h", F.slice("keys", level * TABLES + 1, TABLES).alias("keys"))
-        each = now.join(keys, "h").select("h", "bucket", F.posexplode("keys").alias("t", "key")) if level else keys.select("h", F.lit(0).cast("long").alias("bucket"), F.posexplode("keys").alias("t", "key"))
-        named = each.select("h", F.xxhash64("bucket", F.lit(level), "t", "key").alias("bucket"))
-        size = written(named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
-        last = level == LEVELS - 1
-        few = named.join(size if last else size.where(F.col("n") <= TREE_NODES), "bucket").select("bucket", "h")
-        out = few if out is None else out.unionByName(few)
-        hot = size.where(F.col("n") > TREE_NODES)
-        if last or hot.isEmpty():
-            break
-        now = written(named.join(hot, "bucket").select("bucket", "h"), "near-hot")
+    shared = lambda named: written(named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
+    named = texts.select("h", F.posexplode(F.slice("keys", 1, TABLES)).alias("t", "key")).select("h", "t", F.xxhash64(F.lit(0), "t", "key").alias("bucket"))
+    size = shared(named)
+    out, hot = named.join(size.where(F.col("n") <= TREE_NODES), "bucket").select("bucket", "h"), size.where(F.col("n") > TREE_NODES)
+    if not hot.isEmpty():
+        tables = named.join(hot, "bucket").groupBy("h").agg(F.collect_set("t").alias("hot"))
+        # A first order whose bucket is not hot needs no pair: who agrees in it has met there.
+        cut = [
+            F.when(F.array_contains("hot", i) & (F.array_contains("hot", j) | F.lit(j >= TABLES)) if i < TABLES else F.lit(True), F.xxhash64(F.lit(1), F.lit(p), F.col("keys")[i], F.col("keys")[j]))
+            for p, (i, j) in enumerate(PAIRS)
+        ]
+        again = written(tables.join(texts.select("h", "keys"), "h").select("h", F.array_compact(F.array(*cut)).alias("buckets")), "near-hot")
+        again = again.select("h", F.explode("buckets").alias("bucket"))
+        out = out.unionByName(again.join(shared(again), "bucket").select("bucket", "h"))
     return out.join(texts.select("h", "fp", "sig"), "h").select("bucket", "h", "fp", "sig")
 
 

@@ -303,3 +303,20 @@ def test_lines_brute_force(spark):
     assert got == sorted(brute_lines(rows), key=str) and any(r[2] for r in got)
     clash = spark.createDataFrame([(1, "a", 7, "b", 9)], "doc_id long, text string, line int, template string, leaf int")
     assert rows_of(line_dedup.drop_recurring_lines(clash)) == [{"doc_id": 1, "line": 7, "template": "b", "leaf": 9, "text": "a", "n_lines": 1, "n_dropped": 0}]
+
+
+def test_near_duplicate_buckets_grow_with_the_texts(spark, monkeypatch):
+    """A text has at most 24 buckets however many are similar to it, and twice the similar texts give twice the rows."""
+    monkeypatch.setattr(near_duplicates, "TREE_NODES", 5)
+    rng = random.Random(43)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for k in range(160):
+        t = list(base)
+        t[rng.randrange(150)] = f"y{k}"
+        rows.append((k, " ".join(t)))
+    made = []
+    for n in (80, 160):
+        texts = near_duplicates.signatures(spark.createDataFrame(rows[:n], "doc_id long, text string"), 5).select("h", "fp", "keys", "sig")
+        made.append(near_duplicates.bucket_members(texts).count())
+    assert made[0] <= 24 * 80 and made[1] <= 24 * 160 and made[1] <= 2.1 * made[0]
