@@ -19,6 +19,8 @@ from loam.llm.store import discard, written
 LAST_ID = 2**63 - 1
 RUNS = "d long, th long, start int, n int, anchor long, seg long"
 SPANS = "array<struct<start:int,n:int>>"
+#: Bits of the table that says which rows may have spans: 64 in each of its rows, 262,144 at most.
+PLACES = 1 << 24
 
 
 def keyed_docs(docs: DataFrame) -> DataFrame:
@@ -80,7 +82,8 @@ def wanted_arrays(batch: pa.RecordBatch):
 
 
 def class_windows(keyed: DataFrame, classes: DataFrame, unit: str, t: int, seed: int = 29) -> DataFrame:
-    """(anchor, seg, weight, j, wh): the hash of every window of every class, taken from one text that has it."""
+    """(anchor, seg, weight, j, wh): the hash of every window of every class, taken from one text that has it. Rows
+    that repeat the text's doc_id and text repeat its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(unit, seed)
@@ -98,7 +101,7 @@ def class_windows(keyed: DataFrame, classes: DataFrame, unit: str, t: int, seed:
                     ["anchor", "seg", "weight", "j", "wh"],
                 )
 
-    return with_wanted(keyed, classes).mapInArrow(run, "anchor long, seg long, weight long, j int, wh long").distinct()
+    return with_wanted(keyed, classes).mapInArrow(run, "anchor long, seg long, weight long, j int, wh long")
 
 
 def shared_runs(runs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
@@ -144,6 +147,19 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return keyed_docs(docs).join(spans, ["d", "th"], "left").select("doc_id", "text", "spans")
 
 
+def with_few_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """As ``with_spans``, where most rows have none: those outside a table of ``PLACES`` bits need no exchange.
+
+    Rows that share a bit with a row of ``spans`` are joined in vain; the more of them, the fuller the table."""
+    place = F.xxhash64("d", "th").bitwiseAND(F.lit(PLACES - 1))
+    bit, at = F.expr("shiftleft(1L, cast(xxhash64(d, th) & 63L AS int))"), F.shiftright(place, 6)
+    bits = written(spans.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("bits")), "span-bits")
+    keyed = keyed_docs(docs).withColumn("at", at).join(F.broadcast(bits), "at", "left")
+    may = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    some = keyed.where(may).join(spans, ["d", "th"], "left").select("doc_id", "text", "spans")
+    return some.unionByName(keyed.where(~may).select("doc_id", "text", F.lit(None).cast(SPANS).alias("spans")))
+
+
 def span_arrays(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row index, start and n of all spans in a column."""
     size = spans.value_lengths().fill_null(0).to_numpy()

@@ -5,8 +5,10 @@ always share one. Documents join on anchors that occur in two or more of them. T
 fall into classes that agree on everything their windows cover; where all agree the whole run is a repeat.
 Otherwise each class extends the seed to both sides, word by word within the window's reach, and every
 extension to a full window is compared with all other classes at once by its hash, so pairs of documents are never
-listed. Windows that start in a document with a smaller doc_id too are then joined to maximal repeats, each at least
-as long as a window, and the document loses their words.
+listed. All documents of a class but its first lose its windows anyway, so only the first one's are looked up. Windows
+that start in a document with a smaller doc_id too are then joined to maximal repeats, each at least as long as a
+window, and the document loses their words. A bit table of fixed size spares most texts without spans the exchange that
+brings the spans to the texts.
 
 Hot anchors, classes and windows meet in aggregates with map-side combining, and in joins of two plain exchanges that
 adaptive execution splits.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.repeats import anchored_runs, class_windows, keyed_docs, shared_runs, span_arrays, span_list, spans_per_document, with_spans
+from loam.llm.repeats import anchored_runs, class_windows, keyed_docs, shared_runs, span_arrays, span_list, spans_per_document, with_few_spans
 from loam.llm.spans import Texts, keep_mask, text_batches
 from loam.llm.store import discard, written
 
@@ -46,15 +48,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     plain = shared.where("s0 = s1 and d > lo").select("d", "th", span_list(F.col("start"), F.col("n")).alias("spans"))
     mixed = shared.where("s0 <> s1").select("d", "th", "start", "n", "anchor", "seg")
     classes = mixed.groupBy("anchor", "seg").agg(F.min(F.struct("d", "th", "start", "n")).alias("rep")).withColumn("weight", F.col("rep.d"))
+    classes = written(classes, "substring-classes")
     windows = written(class_windows(keyed, classes, "words", window), "substring-windows")
-    # A window of one class only starts first where its class does.
-    many = written(windows.groupBy("anchor", "wh").agg(F.min("weight").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "substring-firsts")
-    met = windows.join(many, ["anchor", "wh"], "left").select("anchor", "seg", "j", F.coalesce("first", "weight").alias("first"))
-    extended = written(met.groupBy("anchor", "seg").agg(F.collect_list(F.struct("j", "first")).alias("firsts")), "substring-extended")
-    discard(windows, many)
-    earlier = F.filter("firsts", lambda x: x["first"] < F.col("d"))
-    one = lambda x: F.struct((F.col("start") + x["j"]).alias("start"), F.lit(1).alias("n"))
-    partly = mixed.join(extended, ["anchor", "seg"]).select("d", "th", F.transform(earlier, one).alias("spans"))
+    # All windows of a class start in its first document, so only that one asks which of them start earlier elsewhere.
+    firsts = windows.groupBy("anchor", "wh").agg(F.min("weight").alias("first"), F.max("weight").alias("last"))
+    many = written(firsts.where("first < last").drop("last"), "substring-firsts")
+    met = windows.join(many, ["anchor", "wh"]).where("first < weight")
+    earlier = met.groupBy("anchor", "seg").agg(F.collect_set("j").alias("earlier"))
+    extended = written(classes.select("anchor", "seg", "weight").join(earlier, ["anchor", "seg"], "left"), "substring-extended")
+    discard(windows, many, classes)
+    one = lambda j: F.struct((F.col("start") + j).alias("start"), F.lit(1).alias("n"))
+    whole_or_some = F.when(F.col("d") > F.col("weight"), span_list(F.col("start"), F.col("n"))).otherwise(F.transform("earlier", one))
+    partly = mixed.join(extended, ["anchor", "seg"]).select("d", "th", whole_or_some.alias("spans"))
     spans = written(spans_per_document(plain.union(partly.where(F.size("spans") > 0)), window), "substring-spans")
     discard(shared, extended)
     return spans
@@ -62,7 +67,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
 def remove_spans(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): kept words joined by one space."""
-    return with_spans(docs, spans).mapInArrow(_remover(window, False), "doc_id long, n_words long, n_removed long, kept_text string")
+    return with_few_spans(docs, spans).mapInArrow(_remover(window, False), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def _remover(window: int, digest: bool):
@@ -94,6 +99,6 @@ def _remover(window: int, digest: bool):
 
 def substring_digest(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    return with_spans(docs, repeated_spans(docs)).mapInArrow(
+    return with_few_spans(docs, repeated_spans(docs)).mapInArrow(
         _remover(WINDOW, True), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )

@@ -214,7 +214,7 @@ def repeated_byte_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -
     )
     hot = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_classes")).where(F.col("n_classes") > BUCKET_CLASSES).drop("n_classes"), "suffix-hot")
     merged = merged_spans(class_bytes(keyed, classes.join(hot, "anchor", "left_anti"), depth), depth)
-    windows = written(class_windows(keyed, classes.join(hot, "anchor", "left_semi"), "bytes", depth), "suffix-windows")
+    windows = written(class_windows(keyed, classes.join(hot, "anchor", "left_semi"), "bytes", depth).distinct(), "suffix-windows")
     inner = written(merged.unionByName(counted_spans(windows)).where(F.size("inner") > 0), "suffix-inner")
     discard(windows, classes, hot)
     moved = F.transform("inner", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), x["n"].alias("n")))

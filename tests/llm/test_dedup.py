@@ -3,7 +3,7 @@ import random
 import numpy as np
 from helpers import brute_components, brute_lines, brute_simhash, brute_substring, brute_suffix, frame, near_brute, rows_of
 
-from loam.llm import line_dedup, near_duplicates, simhash, substring_dedup, suffix_dedup
+from loam.llm import line_dedup, near_duplicates, repeats, simhash, substring_dedup, suffix_dedup
 from loam.llm.spans import SpanHasher, keep_mask, ranges, sliding_min
 from loam.llm.suffix_dedup import repeated_strings
 
@@ -320,3 +320,39 @@ def test_near_duplicate_buckets_grow_with_the_texts(spark, monkeypatch):
         texts = near_duplicates.signatures(spark.createDataFrame(rows[:n], "doc_id long, text string"), 5).select("h", "fp", "keys", "sig")
         made.append(near_duplicates.bucket_members(texts).count())
     assert made[0] <= 24 * 80 and made[1] <= 24 * 160 and made[1] <= 2.1 * made[0]
+
+
+def test_substring_lists_only_windows_that_start_earlier(spark, monkeypatch):
+    """Passages too short for a window share anchors but list no window; nor do windows of a document's own class."""
+    rng = random.Random(51)
+    new = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    phrase, passage = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(70))
+    rows = [(i, f"{new(60)} {phrase} {new(60)}") for i in range(12)] + [(100, f"{new(60)} {passage} {new(60)}"), (101, f"{new(60)} {passage} {new(60)}")]
+    listed = []
+
+    def written(df, name):
+        out = substring_dedup.store_written(df, name)
+        if name == "substring-extended":
+            listed.extend(len(r[-1] or []) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "store_written", substring_dedup.written, raising=False)
+    monkeypatch.setattr(substring_dedup, "written", written)
+    got = sorted(map(tuple, substring_dedup.substring_digest(frame(spark, [(d, t, "s") for d, t in rows])).collect()))
+    assert got == sorted(brute_substring(rows)) and [r[2] for r in got[-2:]] == [0, 70]
+    # 21 windows of the passage start in 100 already; those inside one run of equal classes need no list.
+    assert listed and sum(listed) <= 21
+
+
+def test_texts_without_spans_need_no_exchange(spark, monkeypatch):
+    """The rows are those of the plain join, also where many share a bit."""
+    rows = corpus(9, 40, 50) + [(None, None), (None, "x"), (7, "")]
+    docs = frame(spark, [(d, t, "s") for d, t in rows])
+    spans = substring_dedup.repeated_spans(docs)
+    want = sorted(repeats.with_spans(docs, spans).collect(), key=str)
+    assert any(r.spans for r in want) and not all(r.spans for r in want)
+    for places in (64, 128, 1 << 24):
+        monkeypatch.setattr(repeats, "PLACES", places)
+        assert sorted(repeats.with_few_spans(docs, spans).collect(), key=str) == want
+    few = repeats.with_few_spans(docs, spans.limit(0))
+    assert few.count() == len(rows) and few.where("spans is not null").count() == 0
