@@ -356,3 +356,28 @@ def test_texts_without_spans_need_no_exchange(spark, monkeypatch):
         assert sorted(repeats.with_few_spans(docs, spans).collect(), key=str) == want
     few = repeats.with_few_spans(docs, spans.limit(0))
     assert few.count() == len(rows) and few.where("spans is not null").count() == 0
+
+
+def exchanged_rows(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    here = plan.metrics().apply("shuffleRecordsWritten").value() if plan.metrics().contains("shuffleRecordsWritten") else 0
+    return here + sum(exchanged_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_substring_exchanges_few_texts_at_last(spark):
+    """The query's last step moves the texts that lose words, and hardly any other."""
+    rng = random.Random(52)
+    new = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passage = new(70)
+    rows = [(i, new(80), "s") for i in range(200)] + [(300, f"{new(9)} {passage}", "s"), (301, f"{passage} {new(9)}", "s")]
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(key, value)
+    try:
+        df = substring_dedup.substring_digest(frame(spark, rows))
+        got = {r.doc_id: r.n_removed for r in df.collect()}
+        moved = exchanged_rows(df._jdf.queryExecution().executedPlan())
+    finally:
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+    assert len(got) == 202 and {d for d, n in got.items() if n} == {301}
+    assert 1 <= moved <= 20
