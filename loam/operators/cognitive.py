@@ -114,20 +114,57 @@ def typed_reasons(reasons: Column, shift: Column, from_path: Column, to_path: Co
     return F.when(F.size(reasons) > 0, F.transform(reasons, one)).otherwise(F.array(make(F.lit("TopicShift"), F.lit(""))))
 
 
+def spread(values: Column) -> Column:
+    """struct<mean, sd> of an array, null where it is empty. Scores that are a few hundredths apart often have a deviation
+    of 0.01 to the last bit, which is a bound: so it is summed up in order as the queries' SQL does it, by differences
+    from the mean before and after each value. ``stddev_pop`` sums up another form and rounds otherwise."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, v: Column) -> Column:
+        after = lambda m: F.struct((s["n"] + 1).alias("n"), m.alias("mean"), (s["square"] + (v - m) * (v - s["mean"])).alias("square"), (s["sum"] + v).alias("sum"))
+        return let(s["mean"] + (v - s["mean"]) / (s["n"] + 1), after)
+
+    done = lambda s: F.when(s["n"] > 0, F.struct((s["sum"] / s["n"]).alias("mean"), F.sqrt(s["square"] / s["n"]).alias("sd")))
+    return F.aggregate(F.filter(values, lambda v: v.isNotNull()), zero, step, done)
+
+
+def ordered_scores(signals: DataFrame, key: str, order: str, score: str) -> DataFrame:
+    """(key, scores): each document's scores in order."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(score).alias("v"))))
+    return signals.groupBy(key).agg(listed.alias("_s")).select(key, F.col("_s.v").alias("scores"))
+
+
+def with_spread(signals: DataFrame, key: str, order: str, score: str) -> DataFrame:
+    """Adds ``_d``, the mean and deviation of the document's scores."""
+    return signals.join(ordered_scores(signals, key, order, score).select(key, spread(F.col("scores")).alias("_d")), key, "left")
+
+
+def _below(v: Column, d: Column) -> Column:
+    return (d["sd"] >= 0.01) & (v < d["mean"] - 0.5 * d["sd"])
+
+
 def valleys(signals: DataFrame, key: str = "doc_id", order: str = "boundary_idx", score: str = "join_score") -> DataFrame:
     """Adds ``is_valley``: half a deviation below the document's mean and no higher than either neighbour."""
-    everything, w = Window.partitionBy(key), Window.partitionBy(key).orderBy(order)
-    mean, sd, v = F.avg(score).over(everything), F.stddev_pop(score).over(everything), F.col(score)
-    low = (sd >= 0.01) & (v < mean - 0.5 * sd)
+    w, v = Window.partitionBy(key).orderBy(order), F.col(score)
     near = (v <= F.coalesce(F.lag(score).over(w), v)) & (v <= F.coalesce(F.lead(score).over(w), v))
-    return signals.withColumn("is_valley", low & near)
+    return with_spread(signals, key, order, score).withColumn("is_valley", _below(v, F.col("_d")) & near).drop("_d")
+
+
+def valley_flags(scores: Column) -> Column:
+    """The same for a document's scores in one array."""
+
+    def flags(values: Column) -> Column:
+        near = lambda v, k: v <= F.coalesce(F.get(values, k), v)
+        return let(spread(values), lambda d: F.transform(values, lambda v, i: _below(v, d) & near(v, i - 1) & near(v, i + 1)))
+
+    return let(scores, flags)
 
 
 def ambiguous(signals: DataFrame, key: str = "doc_id", band: float = 0.5, score: str = "join_score") -> DataFrame:
     """Adds ``is_ambiguous``: within ``band`` deviations of the mean; all where scores hardly differ."""
-    everything = Window.partitionBy(key)
-    mean, sd = F.avg(score).over(everything), F.stddev_pop(score).over(everything)
-    return signals.withColumn("is_ambiguous", (sd < 0.01) | (F.col(score) >= mean - band * sd) & (F.col(score) <= mean + band * sd))
+    mean, sd = F.col("_d.mean"), F.col("_d.sd")
+    near = (sd < 0.01) | (F.col(score) >= mean - band * sd) & (F.col(score) <= mean + band * sd)
+    return with_spread(signals, key, "boundary_idx", score).withColumn("is_ambiguous", near).drop("_d")
 
 
 def refine(signals: DataFrame, scores: DataFrame, key: str = "doc_id", weight: float = 0.7) -> DataFrame:
@@ -147,9 +184,9 @@ def refine(signals: DataFrame, scores: DataFrame, key: str = "doc_id", weight: f
 
 def breaks(signals: DataFrame, rows: DataFrame, key: str = "doc_id", hard: int = HARD) -> DataFrame:
     """(key, flags): for each document whether a chunk ends at each boundary: at valleys, and where the budget would burst."""
-    flags = valleys(signals, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("boundary_idx", "is_valley"))).alias("s"))
+    flags = ordered_scores(signals, key, "boundary_idx", "join_score").select(key, valley_flags(F.col("scores")).alias("low"))
     sizes = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_idx", "tokens"))).alias("b"))
-    both = sizes.join(flags, key, "left").select(key, F.col("b.tokens").alias("tokens"), F.coalesce(F.col("s.is_valley"), F.array().cast("array<boolean>")).alias("low"))
+    both = sizes.join(flags, key, "left").select(key, F.col("b.tokens").alias("tokens"), F.coalesce("low", F.array().cast("array<boolean>")).alias("low"))
     return both.select(key, budget_breaks(F.col("tokens"), F.col("low"), hard).alias("flags"))
 
 
