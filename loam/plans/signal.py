@@ -84,12 +84,8 @@ def split_filter(spark, sf_dir):
 
 def semantic_groups(spark, sf_dir):
     """Vectors of each label grouped at the split points."""
-    rows = series(spark, sf_dir)
-    splits = _points(spark, sf_dir).select("label", "splits")
-    from pyspark.sql import Window
-
-    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
-    grouped = placed.join(splits, "label", "left").withColumn("grp", signal.group_of(F.col("splits"), F.col("i")))
+    rows = series(spark, sf_dir).select("label", "vec_id")
+    grouped = signal.grouped(rows, _points(spark, sf_dir).select("label", "splits"), "label", "vec_id", "grp")
     return grouped.groupBy("label", "grp").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
 
 

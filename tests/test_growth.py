@@ -1,10 +1,13 @@
 """Lists as long as the largest tables make them, and scores on a bound."""
 
+import random
+import time
+
 import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loam.operators import cognitive
+from loam.operators import cognitive, signal
 
 
 def test_deviations_on_the_bound(spark):
@@ -21,3 +24,26 @@ def test_deviations_on_the_bound(spark):
     assert {(r.doc_id, r.boundary_idx) for r in cognitive.valleys(df).where("is_valley").collect()} == low
     flags = cognitive.ordered_scores(df, "doc_id", "boundary_idx", "join_score").select("doc_id", F.posexplode(cognitive.valley_flags(F.col("scores"))).alias("k", "is"))
     assert {(r.doc_id, r.k) for r in flags.where("`is`").collect()} == low
+
+
+def test_split_points_of_a_long_curve(spark):
+    """The percentile is taken once, not for each candidate."""
+    n = 20_000
+    some = random.Random(5)
+    curve = [some.random() for _ in range(n)]
+    df = spark.createDataFrame([(curve, list(range(n)))], "c array<double>, k array<int>")
+    began = time.time()
+    got = df.select(signal.split_indices(F.col("c"), F.col("k")).alias("s")).first().s
+    bound, last, want = (sorted(curve)[n // 2 - 1] + sorted(curve)[n // 2]) / 2, -9, []
+    for i, v in enumerate(curve):
+        if v <= bound and i >= last + 2:
+            want.append(i)
+            last = i
+    assert got == want and time.time() - began < 60
+
+
+def test_groups_at_splits(spark):
+    rows = spark.createDataFrame([("a", 10 * i) for i in range(5)] + [("b", 7)], "k string, o int")
+    splits = spark.createDataFrame([("a", [0, 2])], "k string, splits array<int>")
+    got = {(r.k, r.o): r.g for r in signal.grouped(rows, splits, "k", "o", "g").collect()}
+    assert got == {("a", 0): 0, ("a", 10): 1, ("a", 20): 1, ("a", 30): 2, ("a", 40): 2, ("b", 7): 0}
