@@ -8,7 +8,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from loam.functions.arrays import counted, first_of
+from loam.functions.vectors import jaccard, set_overlap
 from loam.operators import cognitive, enriched, enrichment, signal
+from loam.plans import chunks, text
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_first_and_counted_equal_plain_loops(spark):
@@ -71,3 +75,34 @@ def test_deviations_on_the_bound(spark):
     assert {(r.doc_id, r.boundary_idx) for r in cognitive.valleys(df).where("is_valley").collect()} == low
     flags = cognitive.ordered_scores(df, "doc_id", "boundary_idx", "join_score").select("doc_id", F.posexplode(cognitive.valley_flags(F.col("scores"))).alias("k", "is"))
     assert {(r.doc_id, r.k) for r in flags.where("`is`").collect()} == low
+
+
+def test_types_without_texts(spark):
+    some = random.Random(7)
+    names = ("orphan", "discourse", "entity", "relation", "heading", "shift", "budget")
+    df = spark.createDataFrame([(*[some.choice([0.2, 0.55, 0.9]) for _ in names], 40) for _ in range(80)] + [(0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1)], ", ".join(f"{n} double" for n in names) + ", tokens_so_far int")
+    none = F.array().cast("array<string>")
+    typed = cognitive.typed_reasons(F.col("reasons"), F.col("shift"), none, none)
+    for r in df.withColumn("reasons", cognitive.reasons()).select(typed["type"].alias("a"), cognitive.reason_types().alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_overlap_of_sets(spark):
+    df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], []), (["a"], []), (["a"], None), (["x", "y", "z"], ["z", "x"])], "a array<string>, b array<string>")
+    assert all(r.x == r.y for r in df.select(set_overlap(F.col("a"), F.col("b")).alias("x"), jaccard(F.col("a"), F.col("b")).alias("y")).collect())
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_make_what_they_ask_for(spark):
+    """No enrichment for markers, no windows for languages, three packings for three candidates."""
+    assert "Window" not in planned(text.detected_language(spark, SF)) and "Window" not in planned(chunks.discourse_edges(spark, SF))
+    assert planned(chunks.adaptive_winner(spark, SF)).count("Relation [") == 3
+    assert "format_string" not in planned(chunks.boundary_reasons(spark, SF))
+
+
+def test_language_of_the_first_lines(spark):
+    want = enrichment.document_language(text.line_blocks(spark, SF, ("doc_id",)))
+    assert sorted(map(tuple, text.detected_language(spark, SF).collect())) == sorted(map(tuple, want.collect()))
